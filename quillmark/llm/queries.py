@@ -36,5 +36,36 @@ def p5_consistent_text(spark: SparkSession, d: str) -> DataFrame:
     return consistent_text(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at").select("post_id", "consistent_text")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.leakage import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.leakage import leaked_items, leaks
+
+    return leaked_items(leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.mixing import mix
+
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.mixing import mix, reached_shares
+
+    targets = table(spark, d, "mix_targets")
+    return reached_shares(mix(table(spark, d, "documents"), targets), targets)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.residue import residue
+
+    return residue(table(spark, d, "documents")).filter("residue").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}

@@ -1,0 +1,360 @@
+"""Problem 10: template residue, filler and error pages.
+
+Method: character n-gram models of filler, of error notices and of natural prose
+give each piece of a text a log-likelihood ratio. Windows of high ratio localise
+residue; a document is excluded by the share of its text that they cover. Prose
+and fillers are learned from the corpus and from the seed texts below. Unfilled
+placeholders have no language of their own, so their syntax is matched by
+patterns, which is a departure from the method for that one kind.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmark.session import ship_package
+
+# Seed texts of filler.
+FILLER = """
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
+excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+vestibulum tincidunt mauris suspendisse egestas turpis fermentum placerat praesent velit nullam aliquam quisque consequat
+pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas
+ipsum lorem dolorat velorem sitamen consequi praesenti mauris tincida vestibor fermenta placenta quisquor nullandi turpisse aliquando egestor suspira
+sample text sample text sample text
+this is a sample paragraph
+your headline here
+your title here
+your text here
+insert your text here
+click here to edit this text block
+double click to edit this text
+add your description here
+this is a dummy paragraph and only shows how the layout looks
+this is dummy text
+this is placeholder text for the layout
+placeholder text
+body text body text body text
+caption one caption two caption three
+heading one heading two
+coming soon content for this section
+content goes here
+text goes here
+xxxx xxxx xxxx
+x x x x x x
+test test test test
+asdf asdf asdf qwerty
+foo bar baz foo bar
+tbd tbd tbd copy to come
+to be written
+headline goes here subtitle goes here
+your subtitle here
+caption caption caption body text body text
+यहाँ अपना पाठ लिखें नमूना पाठ
+உங்கள் உரையை இங்கே எழுதவும்
+aquí va el texto de ejemplo de esta página
+texto de ejemplo
+escriba su texto aquí
+texte d'exemple à remplacer
+insérez votre texte ici
+votre texte ici
+hier steht ein beispieltext
+blindtext für das layout
+ihr text hier
+aqui vai o texto de exemplo
+texto de exemplo
+insira seu texto aqui
+यहाँ नमूना पाठ लिखें
+இங்கே மாதிரி உரை
+"""
+# Seed texts of error pages and of notices that ask for scripts or cookies.
+NOTICES = """
+404 not found the page you asked for could not be found
+page not found
+the requested url was not found on this server
+sorry nothing lives at this address any more
+this page does not exist
+the page you are looking for has moved or no longer exists
+500 internal server error
+internal error request
+error 503 the service is not available at the moment
+service unavailable try again later
+502 bad gateway
+504 gateway timeout
+the connection timed out before the server answered
+the server took too long to respond
+403 forbidden access denied
+access to this item was refused
+you do not have permission to view this page
+too many requests from your address wait seconds
+rate limit exceeded
+this video is no longer available
+this content is not available
+this item was removed
+session expired sign in again to see this thread
+your session has expired please log in
+we hit a snag and this thread did not load
+something went wrong and the page did not load
+oops something went wrong
+an unexpected error occurred
+null pointer exception at line
+uncaught typeerror undefined is not a function
+stack trace traceback most recent call last
+null pointer at post render line
+traceback worker stopped keyerror in render step
+fatal error segmentation fault core dumped
+internal error try again later request
+prove that you are not a robot to go on
+please complete the captcha to continue
+verify that you are human
+please turn on scripts in your browser to read this thread
+please enable javascript to continue
+this page needs javascript enable it and load the page again
+you need to enable js to run this app
+your browser has scripts switched off so the comments cannot be shown
+javascript is disabled in your browser
+cookies and scripts must be allowed to open this post
+please enable cookies and reload the page
+please accept cookies to continue
+checking your browser before accessing
+your browser is not supported
+reload
+go back to the start page
+home help sign in
+thank you for your patience
+if this keeps happening tell the site owner
+if the problem persists contact the site administrator
+try again later
+please try again
+ref code
+página no encontrada el enlace ya no existe
+error del servidor inténtelo más tarde
+servicio no disponible código
+active el código javascript para ver los comentarios
+active javascript en su navegador
+acceso denegado
+página não encontrada
+serviço indisponível tente novamente mais tarde
+ative o javascript para ver esta página
+acesso negado
+page introuvable erreur
+erreur interne du serveur
+service indisponible réessayez plus tard
+veuillez activer les scripts pour lire la page
+veuillez activer javascript dans votre navigateur
+accès refusé
+seite nicht gefunden fehler
+interner serverfehler
+dienst nicht verfügbar bitte später erneut versuchen
+bitte aktivieren sie javascript um diese seite zu sehen
+bitte skripte im browser einschalten
+zugriff verweigert
+पृष्ठ नहीं मिला त्रुटि
+सेवा उपलब्ध नहीं है
+कृपया जावास्क्रिप्ट चालू करें
+பக்கம் கிடைக்கவில்லை பிழை
+சேவை கிடைக்கவில்லை
+ஜாவாஸ்கிரிப்டை இயக்கவும்
+"""
+_NAME = r"[A-Za-z_][\w.\- |:/]{0,60}"
+# Syntax of substitutions that were left open or broke.
+PLACEHOLDERS = [
+    r"\{\{.{0,80}?\}\}",  # {{ name }}
+    r"\{%.{0,80}?%\}",  # {% block %}
+    r"<%.{0,80}?%>",  # <%= name %>
+    r"[#$@]\{\s*" + _NAME + r"\}",  # ${name}
+    r"\{(?:\d{1,2}|[A-Za-z_]\w*(?:[._]\w+)*)\}",  # {name} {0}
+    r"%\([A-Za-z_][\w.]*\)[sdfr]",  # %(name)s
+    r"(?<![\w%])%[A-Za-z]+(?:[._][A-Za-z]+)*%(?![\w%])",  # %name%
+    r"<<\s*" + _NAME + r">>",  # <<name>>
+    r"\[\[\s*" + _NAME + r"\]\]",  # [[name]]
+    r"(?<!\w)__[A-Za-z][A-Za-z_]*?__(?!\w)",  # __NAME__
+    r"@@[A-Za-z_][\w.]*@@",  # @@name@@
+    r"[\[<](?:insert|your|add|enter|type|choose|put|fill in|replace)\b[\w '-]{0,40}[\]>]",  # [insert name here] <your name>
+    r"[\[<](?:\w+ ){0,3}here[\]>]",
+    r"(?i:\[object object\])",
+    r"\b(?:nan|NaN)\s*/\s*(?:null|undefined|NaN)\b",
+    r"(?<=[:=] )(?:undefined|NaN|null)(?=[\s,.;!?/]|$)",  # ward: undefined
+    r"(?<!\w)(?:undefined|NaN|null)(?=, | *$)",
+    r"(?i:\b(?:hello|hi|dear|by|in|for|at|from|on|to|of|regards,?|and|ward|date|name)[ ,:]+)(?:undefined|NaN|null)(?=[\s,.;!?/]|$)",
+    r"(?<!\w)(?:undefined|null|NaN) (?:wrote|said|posted|starts|is|was|has|reported)\b",
+]
+PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
+PIECE = re.compile(r"[^.!?\n।:;|]+[.!?\n।:;|]*")
+_NUMBERS = re.compile(r"\d+")
+_SPACE = re.compile(r"[\W_]+")
+N = 4
+
+
+def normal(text: str) -> str:
+    """Lower-case words with single spaces, numbers as one sign."""
+    return " " + _SPACE.sub(" ", _NUMBERS.sub("0", text.lower())).strip() + " "
+
+
+class NgramModel:
+    """Interpolated character n-gram model with Witten-Bell smoothing."""
+
+    def __init__(self, counts: Counter[str]) -> None:
+        self.counts = counts
+        self.total: Counter[str] = Counter()
+        self.kinds: Counter[str] = Counter()
+        for g, c in counts.items():
+            self.total[g[:-1]] += c
+            self.kinds[g[:-1]] += 1
+        self.known: dict[str, float] = {}
+
+    def p(self, gram: str) -> float:
+        """Probability of the last character after the ones before."""
+        got = self.known.get(gram)
+        if got is None:
+            lower = self.p(gram[1:]) if len(gram) > 1 else 1e-4
+            context = gram[:-1]
+            n = self.total.get(context, 0)
+            if n:
+                t = self.kinds[context]
+                got = (self.counts.get(gram, 0) + t * lower) / (n + t)
+            else:
+                got = lower
+            if len(self.known) < 500_000:
+                self.known[gram] = got
+        return got
+
+    def bits(self, text: str) -> float:
+        """Mean log2 probability of a character of ``text``."""
+        return sum(math.log2(self.p(text[max(0, i - N + 1) : i + 1])) for i in range(1, len(text))) / max(1, len(text) - 1)
+
+
+def grams(text: str) -> Iterator[str]:
+    for i in range(1, len(text)):
+        for k in range(1, N + 1):
+            if i - k + 1 >= 0:
+                yield text[i - k + 1 : i + 1]
+
+
+def count_grams(texts: Iterable[str]) -> Counter[str]:
+    total: Counter[str] = Counter()
+    for t in texts:
+        total.update(grams(normal(t)))
+    return total
+
+
+def prose_counts(df: DataFrame, column: str, most: int = 200_000) -> Counter[str]:
+    """Character n-grams of the corpus, counted over all documents.
+
+    Every task counts its documents and drops nothing; the sums are reduced by
+    key. The model keeps the ``most`` frequent n-grams, which bounds what reaches
+    the driver whatever the size of the corpus.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("g", pa.string()), ("n", pa.int64())])
+        total: Counter[str] = Counter()
+        for b in batches:
+            distinct: Counter[str] = Counter()
+            for t in b.column(0).to_pylist():
+                if t:
+                    distinct.update(normal(t).split())
+            for w, c in distinct.items():  # grams within a word and its borders, once for each distinct word
+                for g in grams(f" {w} "):
+                    total[g] += c
+        if total:
+            yield pa.RecordBatch.from_pydict({"g": list(total), "n": list(total.values())}, schema=schema)
+
+    ship_package(df.sparkSession)
+    rows = df.select(column).mapInArrow(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    return Counter({r.g: r.n for r in rows.orderBy(F.desc("n"), "g").limit(most).collect()})
+
+
+class ResidueModel:
+    """Likelihood-ratio windows over the pieces of a text."""
+
+    def __init__(self, prose: Counter[str], least: float = 0.9) -> None:
+        by_word = lambda seeds: sum((count_grams(w for w in line.split()) for line in seeds.split("\n")), Counter())
+        self.prose = NgramModel(prose)
+        self.filler, self.notice = NgramModel(by_word(FILLER)), NgramModel(by_word(NOTICES))
+        self.least = least
+        self.ratios: dict[str, tuple[float, float]] = {}
+        # A seed line whose words all occur is a phrase of that class.
+        self.phrases = [(kind, [normal(x).split() for x in seeds.strip().split("\n")]) for kind, seeds in (("filler", FILLER), ("notice", NOTICES))]
+        self.pairs: dict[str, set[tuple[str, str]]] = {}
+        for kind, lines in self.phrases:
+            self.pairs[kind] = {p for w in lines for p in zip(["^", *w], [*w, "$"])}
+
+    def word(self, w: str) -> tuple[float, float]:
+        """Log-likelihood ratios (bits a character) of a word: filler to prose, notice to prose."""
+        got = self.ratios.get(w)
+        if got is None:
+            t = f" {w} "
+            base = self.prose.bits(t)
+            got = self.filler.bits(t) - base, self.notice.bits(t) - base
+            if len(self.ratios) < 200_000:
+                self.ratios[w] = got
+        return got
+
+    def piece(self, words: list[str]) -> tuple[float, float]:
+        """Score of a window of words for (filler, notice): mean word ratio, and share of word pairs of a seed."""
+        if not words:
+            return 0.0, 0.0
+        if len(words) >= 3 and len(set(words)) == 1:  # one word again and again
+            return 2 * self.least, 0.0
+        ratio = [self.word(w) for w in words]
+        size = [len(w) + 1 for w in words]
+        scores = []
+        pairs = list(zip(["^", *words], [*words, "$"]))
+        for k, kind in enumerate(("filler", "notice")):
+            mean = sum(r[k] * s for r, s in zip(ratio, size)) / sum(size)
+            share = sum(p in self.pairs[kind] for p in pairs) / len(pairs)
+            scores.append(max(mean + 0.3, mean + 4 * share - 1.5))
+        return scores[0], scores[1]
+
+    def score(self, text: str) -> dict[str, float | bool]:
+        """Coverage of the text by filler and by notices, and whether a placeholder is there."""
+        covered = {"filler": 0, "notice": 0}
+        total, letters = 0, 0
+        for m in PIECE.finditer(text):
+            words = normal(m.group()).split()
+            n = sum(len(w) for w in words if "0" not in w)  # numbers and reference codes say nothing
+            if not n:
+                continue
+            total += n
+            filler, notice = self.piece(words)
+            if max(filler, notice) >= self.least:
+                kind = "filler" if filler >= notice else "notice"
+                covered[kind] += n
+                if kind == "filler" and len(words) > 1:
+                    letters += n
+        total = max(1, total)
+        return {"filler_share": covered["filler"] / total, "notice_share": covered["notice"] / total, "filler_chars": letters, "placeholder": bool(PLACEHOLDER.search(text))}
+
+
+def residue(df: DataFrame, key: str = "doc_id", column: str = "text", *, least_ratio: float = 0.9, notice_cover: float = 0.6, filler_chars: int = 12) -> DataFrame:
+    """Score every document: ``key``, ``filler_share``, ``notice_share``, ``placeholder``, ``residue``.
+
+    ``residue`` is true for an open placeholder, for windows of filler with at
+    least ``filler_chars`` letters together, and for a text of which notices cover
+    ``notice_cover`` or more. Null and empty texts have no residue. Whole texts
+    are read; apart from the n-gram counts nothing is shuffled.
+    """
+    prose = prose_counts(df, column)
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ResidueModel(prose, least_ratio)
+        for b in batches:
+            out = [model.score(t or "") for t in b.column(1).to_pylist()]
+            bad = [s["placeholder"] or s["filler_chars"] >= filler_chars or s["notice_share"] >= notice_cover for s in out]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array([s[c] for s in out], pa.float64()) for c in ("filler_share", "notice_share")), pa.array([s["placeholder"] for s in out], pa.bool_()), pa.array(bad, pa.bool_())],
+                names=[key, "filler_share", "notice_share", "placeholder", "residue"],
+            )
+
+    return df.select(key, column).mapInArrow(run, f"`{key}` {kind}, filler_share double, notice_share double, placeholder boolean, residue boolean")
