@@ -11,6 +11,18 @@ from quillmark.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.abuse import LEAST, scored
+
+    return scored(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at").filter(f"score >= {LEAST}").select("post_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.abuse import rates, scored
+
+    return rates(scored(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at", "source"), "source")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.format_dups import format_duplicates
 
@@ -36,6 +48,22 @@ def p5_consistent_text(spark: SparkSession, d: str) -> DataFrame:
     return consistent_text(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at").select("post_id", "consistent_text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quillmark.llm.pii import found_types
+
+    inputs = found_types(table(spark, d, "post_inputs"), "post_id", "original_text", "received_at").withColumn("table_name", F.lit("post_inputs"))
+    nlp = found_types(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at").withColumn("table_name", F.lit("posts_nlp"))
+    return inputs.unionByName(nlp).select("table_name", "post_id", "pii_type")
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.pii import personal_data
+
+    return personal_data(table(spark, d, "post_inputs"), "post_id", "original_text", "received_at").select("post_id", "redacted_text")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.leakage import leaks
 
