@@ -11,6 +11,20 @@ from quillmark.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.language import label_faults, languages
+
+    found = languages(table(spark, d, "post_inputs"), "post_id", "original_text", "received_at", "lang_hint")
+    return label_faults(found, table(spark, d, "language_info"))
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.language import languages
+
+    found = languages(table(spark, d, "post_inputs"), "post_id", "original_text", "received_at", "lang_hint")
+    return found.select("post_id", "lang", "confidence", "mixed", "segments")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.abuse import LEAST, scored
 
