@@ -77,6 +77,27 @@ def p5_consistent_text(spark: SparkSession, d: str) -> DataFrame:
     return consistent_text(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at").select("post_id", "consistent_text")
 
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.clusters import clusters
+    from quillmark.llm.vectors import usable_vectors
+    from quillmark.session import materialise
+
+    return materialise(clusters(*usable_vectors(table(spark, d, "argus_post_details"), extra="topic")), "clusters")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.clusters import topics
+
+    members = _clusters(spark, d)
+    return members.join(topics(members), ["cluster", "model"]).selectExpr("key as post_id", "topic")
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.clusters import described
+
+    return described(_clusters(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
