@@ -56,7 +56,7 @@ def pack(lists: pa.Array, size: int) -> tuple[list[bytes | None], list[bytes | N
 
 
 def usable_vectors(df: DataFrame, *, key: str = "post_id", column: str = "embedding", model: str = "embedding_model", time: str = "updated_at", size: int = 384, extra: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Packed vectors ``(rid, vec)`` and ``(rid, key, model, h, extra)`` of the posts that have a usable one.
+    """Packed vectors ``(rid, model, vec)`` and ``(rid, key, model, h, extra)`` of the posts that have a usable one.
 
     A vector is usable if the post's latest row has ``size`` finite numbers that
     are not all zero. Vectors are scaled to unit length and kept as 16-bit fixed
@@ -77,21 +77,29 @@ def usable_vectors(df: DataFrame, *, key: str = "post_id", column: str = "embedd
     packed = rows.mapInArrow(run, f"key string, model string, at {kinds[time]}, extra string, h binary, vec binary")
     stored = materialise(packed.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     heads = latest_by(stored.select("rid", "key", "model", "at", "extra", "h"), ["key"], "at", [F.col("h"), F.col("rid")]).filter("h is not null")
-    return stored.select("rid", "vec"), materialise(heads.select("rid", "key", "model", "h", "extra"), "vector-heads")
+    return stored.select("rid", "model", "vec"), materialise(heads.select("rid", "key", "model", "h", "extra"), "vector-heads")
+
+
+def slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Small pieces of a batch, so that what is computed from one stays small too."""
+    for i in range(0, b.num_rows, rows):
+        yield b.slice(i, rows)
+
+
+def only(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``vectors`` whose ``rid`` is in ``ids``.
+
+    What is to go is usually little: then its row numbers are broadcast and no
+    vector travels. Else the rows are joined once and written.
+    """
+    out = materialise(vectors.select("rid").join(ids.select("rid"), "rid", "left_anti"), "left-out")
+    few = out.count() <= BROADCAST_ROWS
+    kept = vectors.join(F.broadcast(out) if few else out, "rid", "left_anti")
+    return kept if few else materialise(kept, "vectors-kept")
 
 
 def representatives(vectors: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups of identical vectors of a model: the vectors of the representatives ``(rid, model, vec)``, and ``(rid, rep, key)`` of all posts."""
+    """Groups of identical vectors of a model: the vectors of the representatives, and ``(rid, rep, key)`` of all posts."""
     groups = heads.groupBy("model", "h").agg(F.min("rid").alias("rep"))
-    members = materialise(heads.join(groups, ["model", "h"]).select("rid", "rep", "key", "model"), "vector-groups")
-    reps = members.filter("rid = rep")
-    others = vectors.select("rid").join(reps.select("rid"), "rid", "left_anti")
-    models = [r[0] for r in members.select("model").distinct().limit(1001).collect()]
-    kept = vectors.join(small(others), "rid", "left_anti")
-    if len(models) == 1:
-        return kept.withColumn("model", F.lit(models[0])), members
-    # The most frequent model needs no join; the rows of the others are few or joined by shuffle.
-    first = members.groupBy("model").count().orderBy(F.desc("count"), "model").limit(1).collect()
-    common = first[0][0] if first else ""
-    rest = reps.filter(F.col("model") != common).select("rid", "model")
-    return kept.join(small(rest), "rid", "left").withColumn("model", F.coalesce("model", F.lit(common))), members
+    members = materialise(heads.join(groups, ["model", "h"]).select("rid", "rep", "key"), "vector-groups")
+    return only(vectors, members.filter("rid = rep")), members
