@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.lookalike import UnionFind
-from quillmark.llm.vectors import matrix, small
+from quillmark.llm.vectors import SCALE, matrix, only, small
 from quillmark.operators.components import connected_components
 from quillmark.session import materialise, ship_package
 
@@ -27,11 +27,13 @@ class Limits:
     """Parameters of the tree."""
 
     link: float = 0.35  # similarity of a link
-    core: float = 0.5  # a member this near to the centre is explained by it
+    # A member this near to the centre is explained by it: the root of ``link``, which members of one
+    # cluster reach where their mean similarity is a link; two clusters under one centre stay below it.
+    core: float = 0.592
     compact: float = 0.8  # share of explained members at which a leaf is compact
     rounds: int = 24  # levels of the tree
     lloyd: int = 3  # passes that move the two centres of a split
-    seeds: int = 48  # rows of a node that only start the two centres
+    seeds: int = 24  # rows of a node that only start the two centres
     at_once: int = 256  # nodes of largest dispersion that are split in one round
     typical: int = 8  # centre-nearest members kept of a leaf
     most_leaves: int = 4096
@@ -81,6 +83,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def _pass(rows: DataFrame, tree: Tree, seeds: int, limits: Limits) -> dict[int, dict]:
     """One pass over all vectors: count, sum, explained rows and ``seeds`` rows of each leaf.
 
+    Rows the centre does not explain are taken first, in order of a hash.
     Each task sends one row for each leaf it met; these are merged by leaf before
     they reach the driver.
     """
@@ -90,9 +93,10 @@ def _pass(rows: DataFrame, tree: Tree, seeds: int, limits: Limits) -> dict[int,
     names = ["leaf", "n", "explained", "total", "sample", "marks"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     core = limits.core
+    top = np.uint64(1 << 63)
 
     def emit(acc: dict[int, list]) -> pa.RecordBatch:
-        cols = list(zip(*[(k, v[0], v[1], v[2].tobytes(), v[3].astype(np.float32).tobytes(), v[4].tobytes()) for k, v in acc.items()])) or [[]] * 6
+        cols = list(zip(*[(k, v[0], v[1], v[2].tobytes(), np.rint(v[3] * SCALE).astype(np.int16).tobytes(), v[4].tobytes()) for k, v in acc.items()])) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
 
     def merge(acc: dict[int, list], k: int, n: int, explained: int, total: np.ndarray, sample: np.ndarray, marks: np.ndarray) -> None:
@@ -111,13 +115,15 @@ def _pass(rows: DataFrame, tree: Tree, seeds: int, limits: Limits) -> dict[int,
                 continue
             x = matrix(b.column(2))
             leaf = t.leaf_of(np.array(b.column(1).to_pylist()), x)
-            marks = (b.column(0).to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            marks = (b.column(0).to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)
             for k in np.unique(leaf[leaf >= 0]):
                 if t.nodes[k].final:
                     continue
                 own = np.flatnonzero(leaf == k)
                 y = x[own]
-                near = int((y @ t.nodes[k].centre >= core).sum())
+                known = y @ t.nodes[k].centre >= core
+                near = int(known.sum())
+                marks[own[known]] |= top
                 pick = own[np.argsort(marks[own], kind="stable")[:seeds]]
                 merge(acc, int(k), len(own), near, y.sum(0, dtype=np.float64), x[pick].astype(np.float64), marks[pick])
         yield emit(acc)
@@ -127,7 +133,7 @@ def _pass(rows: DataFrame, tree: Tree, seeds: int, limits: Limits) -> dict[int,
         for b in batches:
             for r in b.to_pylist():
                 total = np.frombuffer(r["total"], np.float64)
-                sample = np.frombuffer(r["sample"], np.float32).reshape(-1, len(total)).astype(np.float64)
+                sample = np.frombuffer(r["sample"], np.int16).reshape(-1, len(total)) / SCALE
                 merge(acc, r["leaf"], r["n"], r["explained"], total, sample, np.frombuffer(r["marks"], np.uint64))
         yield emit(acc)
 
@@ -135,7 +141,7 @@ def _pass(rows: DataFrame, tree: Tree, seeds: int, limits: Limits) -> dict[int,
     out = {}
     for r in parts.repartition(8, "leaf").mapInArrow(reduce, schema).collect():
         total = np.frombuffer(r.total, np.float64)
-        out[r.leaf] = {"n": r.n, "explained": r.explained, "total": total, "sample": np.frombuffer(r.sample, np.float32).reshape(-1, len(total))}
+        out[r.leaf] = {"n": r.n, "explained": r.explained, "total": total, "sample": np.frombuffer(r.sample, np.int16).reshape(-1, len(total)) / SCALE}
     shared.unpersist()
     return out
 
@@ -178,11 +184,15 @@ def grow(rows: DataFrame, models: list[str], size: int, limits: Limits, seed: in
             length = float(np.linalg.norm(s["total"])) / max(1, s["n"])
             moved = float(centre @ node.centre) < 0.98
             node.centre = centre
-            # Compact: the centre explains its members, and the mean pair is linked.
-            if not moved and s["explained"] >= limits.compact * s["n"] or s["n"] < 5:
+            # Compact: the centre explains its members, and those it does not explain are unlike each other.
+            odd = s["sample"][: max(0, min(len(s["sample"]), s["n"] - s["explained"]))]
+            group = _linked_group(odd, limits.link)
+            hidden = len(group) >= max(3, 0.15 * len(odd))
+            if s["n"] < 5 or not moved and not hidden and s["explained"] >= limits.compact * s["n"]:
                 node.final = True
             elif len(s["sample"]) >= 2:
-                split.append((s["n"] * (1 - length * length), k, s["sample"]))
+                start = (centre, _unit(group.sum(0))) if hidden and s["explained"] >= 0.5 * s["n"] else None
+                split.append((s["n"] * (1 - length * length), k, s["sample"], start))
         split.sort(key=lambda z: (-z[0], z[1]))
         room = max(0, limits.most_leaves - sum(n.left < 0 for n in tree.nodes))
         todo = split[: min(limits.at_once, room)]
@@ -195,8 +205,8 @@ def grow(rows: DataFrame, models: list[str], size: int, limits: Limits, seed: in
             if all(tree.nodes[k].final for k in stats):
                 break
             continue
-        for _, k, sample in todo:
-            a, b = _start(sample, rng)
+        for _, k, sample, start in todo:
+            a, b = start or _start(sample, rng)
             node = tree.nodes[k]
             node.left, node.right = len(tree.nodes), len(tree.nodes) + 1
             tree.nodes += [Node(node.model, a), Node(node.model, b)]
@@ -206,6 +216,14 @@ def grow(rows: DataFrame, models: list[str], size: int, limits: Limits, seed: in
     return tree
 
 
+def _linked_group(sample: np.ndarray, link: float) -> np.ndarray:
+    """The rows linked to the one with the most links, itself included."""
+    if not len(sample):
+        return sample
+    s = sample @ sample.T >= link
+    return sample[s[s.sum(1).argmax()]]
+
+
 def _diffuse(node: Node, sample: np.ndarray, limits: Limits) -> bool:
     """No two of the node's seed rows are linked and the centre explains nobody."""
     s = sample @ sample.T
@@ -227,7 +245,7 @@ def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_siz
     spark = vectors.sparkSession
     ship_package(spark)
     models = sorted(r[0] for r in heads.select("model").distinct().collect())
-    rows = materialise(vectors.join(heads.select("rid", "model"), "rid").select("rid", "model", "vec"), "cluster-vectors")
+    rows = only(vectors, heads)
     tree = grow(rows, models, size, limits)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -241,11 +259,11 @@ def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_siz
                 near = np.einsum("ij,ij->i", x, centres[leaf])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(leaf.astype(np.int32)), pa.array(near.astype(np.float64))], names=["rid", "leaf", "near"])
 
-    placed = materialise(rows.mapInArrow(place, "rid bigint, leaf int, near double"), "placed") if models else spark.createDataFrame([], "rid bigint, leaf int, near double")
+    placed = rows.mapInArrow(place, "rid bigint, leaf int, near double") if models else spark.createDataFrame([], "rid bigint, leaf int, near double")
     # Typical members of each leaf: at most most_leaves * typical vectors.
     by_leaf = Window.partitionBy("leaf").orderBy(F.desc("near"), "rid")
     top = placed.withColumn("n", F.row_number().over(by_leaf)).filter(F.col("n") <= limits.typical)
-    reps = rows.join(small(top.select("rid", "leaf")), "rid").select("leaf", "rid", "model", "vec").collect()
+    reps = rows.join(small(materialise(top.select("rid", "leaf"), "typical")), "rid").select("leaf", "rid", "model", "vec").collect()
     reps.sort(key=lambda r: (r.leaf, r.rid))
     links = UnionFind()
     rep_leaf = np.array([r.leaf for r in reps], int)
@@ -266,12 +284,16 @@ def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_siz
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Set of each row by a link to a typical member: of its own leaf first, then of any."""
         own_leaf, model, x_rep, group = table.value
+        t = shared.value
+        centres = np.stack([n.centre for n in t.nodes])
         by = {k: np.flatnonzero(own_leaf == k) for k in np.unique(own_leaf)}
         for b in batches:
             if not b.num_rows:
                 continue
-            x, leaf = matrix(b.column(2)), b.column(3).to_numpy()
+            x = matrix(b.column(2))
             models_here = np.array(b.column(1).to_pylist())
+            leaf = t.leaf_of(models_here, x)
+            near = np.einsum("ij,ij->i", x, centres[leaf]).astype(np.float64)
             out = np.full(len(x), -1, np.int64)
             for k in np.unique(leaf):
                 at, r = np.flatnonzero(leaf == k), by.get(k)
@@ -286,17 +308,17 @@ def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_siz
                 s[models_here[part][:, None] != model[None, :]] = -1
                 hit = s.max(1) >= link
                 out[part[hit]] = group[s.argmax(1)][hit]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["rid", "grp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array(near)], names=["rid", "grp", "near"])
 
     if not reps:
-        attached = spark.createDataFrame([], "rid bigint, grp bigint")
+        attached = spark.createDataFrame([], "rid bigint, grp bigint, near double")
     else:
-        attached = materialise(rows.join(placed.select("rid", "leaf"), "rid").select("rid", "model", "vec", "leaf").mapInArrow(attach, "rid bigint, grp bigint"), "attached")
+        attached = materialise(rows.mapInArrow(attach, "rid bigint, grp bigint, near double"), "attached")
     loose = rows.join(small(attached.filter("grp < 0").select("rid")), "rid", "left_semi")
     pairs = block_links(loose, limits.link)
     comp = connected_components(pairs).select(F.col("node").alias("rid"), F.concat(F.lit("r"), F.col("component").cast("string")).alias("grp"))
     of = attached.filter("grp >= 0").select("rid", F.concat(F.lit("t"), F.col("grp").cast("string")).alias("grp")).unionByName(comp)
-    sized = of.join(heads.select("rid", "key", "model", "extra"), "rid").join(placed.select("rid", "near"), "rid")
+    sized = of.join(heads.select("rid", "key", "model", "extra"), "rid").join(attached.select("rid", "near"), "rid")
     info = sized.groupBy("grp").agg(F.count("*").alias("size"), F.min("key").alias("cluster")).filter(F.col("size") >= least_size)
     return sized.join(info, "grp").select("key", "model", "cluster", "size", F.col("near").alias("similarity"), "extra")
 
