@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.session import materialise
 from quillmark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.language import label_faults, languages
 
     found = languages(table(spark, d, "post_inputs"), "post_id", "original_text", "received_at", "lang_hint")
-    return label_faults(found, table(spark, d, "language_info"))
+    # Read once, used by three kinds of fault.
+    once = materialise(found.select("post_id", "lang", "mixed", "langs", "label_code"), "languages")
+    return label_faults(once, table(spark, d, "language_info"))
 
 
 def p2_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +71,8 @@ def p4_kept_posts(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.lookalike import form_digests, same_look_pairs
 
-    return same_look_pairs(form_digests(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at"))
+    digests = form_digests(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at")
+    return same_look_pairs(materialise(digests, "digests"))
 
 
 def p5_consistent_text(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +84,6 @@ def p5_consistent_text(spark: SparkSession, d: str) -> DataFrame:
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.clusters import clusters
     from quillmark.llm.vectors import usable_vectors
-    from quillmark.session import materialise
 
     return materialise(clusters(*usable_vectors(table(spark, d, "argus_post_details"), extra="topic")), "clusters")
 
