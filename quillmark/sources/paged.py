@@ -60,7 +60,7 @@ class PagedReader(DataSourceReader):
 
     def __init__(self, options: dict) -> None:
         self.root = unquote(urlparse(options["path"]).path)
-        self.most = int(options["maxItems"]) if "maxItems" in options else None
+        self.most = int(options["maxitems"]) if "maxitems" in options else None
 
     def partitions(self) -> list[InputPartition]:
         return [_Collection(str(p)) for p in sorted(Path(self.root).iterdir()) if p.is_dir()] or [_Collection("")]
@@ -85,7 +85,7 @@ class PagedSource(DataSource):
         return "collection string, id string, parent string, author string, text string, at string, likes bigint"
 
     def reader(self, schema) -> PagedReader:
-        return PagedReader(dict(self.options))
+        return PagedReader({k.lower(): v for k, v in dict(self.options).items()})
 
 
 def register(spark: SparkSession) -> None:
