@@ -117,9 +117,10 @@ def classes(counts: dict[str, int]) -> dict[str, str]:
         for u in todo:
             if len(u) > 1:
                 v = "".join(best[uf.find(c)] if c in uf.parent else c for c in u)
-                if v != u and v and v not in todo:
+                if v != u and v:
                     uf.union(u, v)
-                    new.add(v)
+                    if v not in todo:
+                        new.add(v)
         if not new:
             break
         todo |= new
@@ -134,7 +135,12 @@ def classes(counts: dict[str, int]) -> dict[str, str]:
 
 
 def _representative(group: list[str], counts: dict[str, int]) -> str:
-    return "" if "" in group else min(group, key=lambda x: (-counts.get(x, 0), len(x), x))
+    return "" if "" in group else min(group, key=lambda x: (-_frequency(x, counts), len(x), x))
+
+
+def _frequency(x: str, counts: dict[str, int]) -> int:
+    """Count of a unit; of a string of several units that of the rarest, which it can't exceed."""
+    return counts.get(x) or (min((counts.get(u, 0) for u in units(x)), default=0) if len(x) > 1 else 0)
 
 
 class Rewriter:
