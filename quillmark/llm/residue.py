@@ -59,6 +59,29 @@ to be written
 headline goes here subtitle goes here
 your subtitle here
 caption caption caption body text body text
+placeholder paragraph for this section
+lorem text for the preview
+replace this text with your own
+write something here
+type your message here
+write your post here
+title of the article goes here
+description goes here
+example text example text
+demo content for the theme
+nothing to see here yet
+platzhaltertext für diesen abschnitt
+beispieltext bitte ersetzen
+hier kommt der text hin
+überschrift hier einfügen
+texte provisoire pour cette section
+texte de remplissage
+titre de la page ici
+texto provisional para esta sección
+texto de relleno
+título de la página aquí
+texto provisório para esta seção
+título da página aqui
 यहाँ अपना पाठ लिखें नमूना पाठ
 உங்கள் உரையை இங்கே எழுதவும்
 aquí va el texto de ejemplo de esta página
@@ -116,6 +139,53 @@ internal error try again later request
 prove that you are not a robot to go on
 please complete the captcha to continue
 verify that you are human
+bad gateway node did not reply
+database query failed near line
+database connection error
+could not connect to the database
+the upstream server did not reply in time
+checking your connection before you go on ray
+this site cannot be reached
+this item is not available in your region
+the link has expired
+you have been blocked
+please sign in to view this content
+log in to continue
+the server is down for maintenance
+we will be back soon
+scheduled maintenance please come back later
+unable to load the comments
+failed to load resource
+request could not be processed
+invalid request token
+unhandled exception in worker thread
+memory limit exceeded
+warning undefined index in line
+syntax error unexpected token
+reference request id trace id
+retry refresh the page
+contact support
+your cookies are switched off
+this site uses cookies please accept them to go on
+turn on cookies in your browser
+el servidor no responde
+vuelva a intentarlo más tarde
+active las cookies para continuar
+habilite javascript en su navegador
+el contenido ya no está disponible
+ha ocurrido un error
+le serveur ne répond pas
+le contenu n'est plus disponible
+une erreur est survenue
+activez les cookies pour continuer
+der server antwortet nicht
+der inhalt ist nicht mehr verfügbar
+ein fehler ist aufgetreten
+bitte cookies aktivieren um fortzufahren
+o servidor não responde
+o conteúdo não está mais disponível
+ocorreu um erro
+ative os cookies para continuar
 please turn on scripts in your browser to read this thread
 please enable javascript to continue
 this page needs javascript enable it and load the page again
@@ -179,8 +249,9 @@ PLACEHOLDERS = [
     r"\[\[\s*" + _NAME + r"\]\]",  # [[name]]
     r"(?<!\w)__[A-Za-z][A-Za-z_]*?__(?!\w)",  # __NAME__
     r"@@[A-Za-z_][\w.]*@@",  # @@name@@
-    r"[\[<](?:insert|your|add|enter|type|choose|put|fill in|replace)\b[\w '-]{0,40}[\]>]",  # [insert name here] <your name>
-    r"[\[<](?:\w+ ){0,3}here[\]>]",
+    r"(?i:[\[<](?:insert|your|add|enter|type|choose|put|fill in|replace)\b[\w '-]{0,40}[\]>])",  # [insert name here] <your name>
+    r"(?i:[\[<](?:\w+ ){0,3}here[\]>])",
+    r"(?i:[\[<][\w ]{0,30}\b(?:to be (?:added|announced|confirmed|written|filled in|done)|to come|tbd|tba|todo)[\]>])",  # [date to be added]
     r"(?i:\[object object\])",
     r"\b(?:nan|NaN)\s*/\s*(?:null|undefined|NaN)\b",
     r"(?<=[:=] )(?:undefined|NaN|null)(?=[\s,.;!?/]|$)",  # ward: undefined
@@ -193,6 +264,7 @@ PIECE = re.compile(r"[^.!?\n।:;|]+[.!?\n।:;|]*")
 _NUMBERS = re.compile(r"\d+")
 _SPACE = re.compile(r"[\W_]+")
 N = 4
+FULL = 60
 
 
 def normal(text: str) -> str:
@@ -251,26 +323,30 @@ def prose_counts(df: DataFrame, column: str, most: int = 200_000) -> Counter[str
     """Character n-grams of the corpus, counted over all documents.
 
     Every task counts its documents and drops nothing; the sums are reduced by
-    key. The model keeps the ``most`` frequent n-grams, which bounds what reaches
+    key. A document weighs as the square of its words, up to ``FULL`` of them: a
+    page of a few words says little about prose, however often it was crawled. The model keeps the ``most`` frequent n-grams, which bounds what reaches
     the driver whatever the size of the corpus.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("g", pa.string()), ("n", pa.int64())])
-        total: Counter[str] = Counter()
+        schema = pa.schema([("g", pa.string()), ("n", pa.float64())])
+        total: dict[str, float] = {}
         for b in batches:
-            distinct: Counter[str] = Counter()
+            distinct: dict[str, float] = {}
             for t in b.column(0).to_pylist():
                 if t:
-                    distinct.update(normal(t).split())
+                    own = normal(t).split()
+                    weight = min(1.0, len(own) / FULL) ** 2
+                    for w in own:
+                        distinct[w] = distinct.get(w, 0.0) + weight
             for w, c in distinct.items():  # grams within a word and its borders, once for each distinct word
                 for g in grams(f" {w} "):
-                    total[g] += c
+                    total[g] = total.get(g, 0.0) + c
         if total:
             yield pa.RecordBatch.from_pydict({"g": list(total), "n": list(total.values())}, schema=schema)
 
     ship_package(df.sparkSession)
-    rows = df.select(column).mapInArrow(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    rows = df.select(column).mapInArrow(count, "g string, n double").groupBy("g").agg(F.round(F.sum("n"), 3).alias("n"))
     return Counter({r.g: r.n for r in rows.orderBy(F.desc("n"), "g").limit(most).collect()})
 
 
@@ -282,6 +358,7 @@ class ResidueModel:
         self.prose = NgramModel(prose)
         self.filler, self.notice = NgramModel(by_word(FILLER)), NgramModel(by_word(NOTICES))
         self.least = least
+        self.strange = -2.8
         self.ratios: dict[str, tuple[float, float]] = {}
         # A seed line whose words all occur is a phrase of that class.
         self.phrases = [(kind, [normal(x).split() for x in seeds.strip().split("\n")]) for kind, seeds in (("filler", FILLER), ("notice", NOTICES))]
@@ -295,13 +372,16 @@ class ResidueModel:
         if got is None:
             t = f" {w} "
             base = self.prose.bits(t)
-            got = self.filler.bits(t) - base, self.notice.bits(t) - base
+            own = self.filler.bits(t), self.notice.bits(t)
+            # A word that is new to all models is evidence of nothing.
+            got = tuple(x - base if x >= self.strange else min(0.0, x - base) for x in own)
             if len(self.ratios) < 200_000:
                 self.ratios[w] = got
         return got
 
     def piece(self, words: list[str]) -> tuple[float, float]:
         """Score of a window of words for (filler, notice): mean word ratio, and share of word pairs of a seed."""
+        words = [w for w in words if w != "0"]  # numbers say nothing
         if not words:
             return 0.0, 0.0
         if len(words) >= 3 and len(set(words)) == 1:  # one word again and again
@@ -313,9 +393,30 @@ class ResidueModel:
         for k, kind in enumerate(("filler", "notice")):
             mean = sum(r[k] * s for r, s in zip(ratio, size)) / sum(size)
             share = sum(p in self.pairs[kind] for p in pairs) / len(pairs)
-            scores.append(max(mean + 0.3, mean + 4 * share - 1.5))
+            known = self.least if share >= 0.8 and len(words) > 2 else mean  # word for word a seed
+            scores.append(max(mean + 0.3, mean + 4 * share - 1.5, known))
         return scores[0], scores[1]
 
+    def window(self, words: list[str]) -> int:
+        """Letters of the best window of filler inside a piece that is not filler as a whole."""
+        run = best = 0
+        for p in zip(words, words[1:]):  # a run of word pairs as in a seed
+            run = run + 1 if p in self.pairs["filler"] else 0
+            best = max(best, run)
+        if best >= 4:
+            return 4 * best
+        ratio = [self.word(w)[0] for w in words]
+        total = letters = start = 0.0
+        found = 0
+        for i, (w, r) in enumerate(zip(words, ratio)):  # the contiguous words of greatest summed ratio beyond .3 a letter
+            if total <= 0:
+                total, letters, start = 0.0, 0, i
+            total += (r - 0.3) * len(w)
+            letters += len(w)
+            if i - start >= 3 and total >= 0.3 * letters:
+                found = max(found, int(letters) if letters >= 12 else 0)
+        return found
+
     def score(self, text: str) -> dict[str, float | bool]:
         """Coverage of the text by filler and by notices, and whether a placeholder is there."""
         covered = {"filler": 0, "notice": 0}
@@ -332,11 +433,15 @@ class ResidueModel:
                 covered[kind] += n
                 if kind == "filler" and len(words) > 1:
                     letters += n
+            elif len(words) > 5:
+                part = self.window(words)
+                covered["filler"] += part
+                letters += part
         total = max(1, total)
         return {"filler_share": covered["filler"] / total, "notice_share": covered["notice"] / total, "filler_chars": letters, "placeholder": bool(PLACEHOLDER.search(text))}
 
 
-def residue(df: DataFrame, key: str = "doc_id", column: str = "text", *, least_ratio: float = 0.9, notice_cover: float = 0.6, filler_chars: int = 12) -> DataFrame:
+def residue(df: DataFrame, key: str = "doc_id", column: str = "text", *, least_ratio: float = 0.9, notice_cover: float = 0.6, filler_chars: int = 8) -> DataFrame:
     """Score every document: ``key``, ``filler_share``, ``notice_share``, ``placeholder``, ``residue``.
 
     ``residue`` is true for an open placeholder, for windows of filler with at
