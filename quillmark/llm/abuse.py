@@ -101,7 +101,7 @@ _G = r"(?:an? |every |all |any |those |these |the |them |other |such )?(?P<g>[^\
 FRAMES: list[tuple[str, float, str]] = [
     # wishes of harm and threats
     (r"jump (?:in front of|off|under|from) (?:the|a) (?:next )?(?:train|bus|bridge|roof|cliff|truck)", 0.9, "jump"),
-    (r"nobody would (?:miss|notice|cry)(?: it)? if you", 0.9, "nobody would"),
+    (r"nobody would (?:miss|notice|cry)(?: \w+)? if you", 0.9, "nobody would"),
     (r"(?:i )?hope (?:you|your \w+) (?:lose everything|die|dies|rot|burns?|suffers?|chokes?|drowns?|crash(?:es)?|goes? (?:off|under|to hell)|gets? (?:hit|sick|hurt|cancer|run over)|never)", 0.9, "hope"),
     (r"(?:go )?choke on (?:your|it)", 0.8, "choke"),
     (r"(?:favou?r and |just |go )?(?:disappear|vanish) (?:for good|forever)", 0.75, "disappear|vanish"),
@@ -127,7 +127,11 @@ FRAMES: list[tuple[str, float, str]] = [
     (r"this (?:ugly|stupid|disgusting|rotten|pathetic|filthy|worthless|brainless) \w+ (?:talks|writes|posts|speaks|barks) again", 0.85, " again"),
     (r"only an? (?:ugly|stupid|disgusting|rotten|pathetic|filthy|worthless|brainless) \w+ (?:would|could|can) ", 0.8, "only a"),
     (r"you are such an? (?:ugly|stupid|disgusting|rotten|pathetic|filthy|worthless|brainless)", 0.85, "you are such"),
+    (r"(?:one|a|two) (?:good |hard |tight )?(?:slap|punch|kick|bullet|beating|stone) would (?:fix|teach|shut|help|solve|silence)", 0.85, "slap|punch|kick|bullet|beating|stone"),
+    (r"(?:that|this) (?:\w+ )?(?:head|face|mouth|brain|mug|tongue) of yours", 0.75, "of yours"),
     # statements against a group
+    (r"are an? (?:disease|plague|cancer|curse|stain|infection|burden|pest) (?:and|on|to|of|in|that)", 0.9, " are a"),
+    (r"must (?:all )?be (?:thrown|driven|kicked|wiped|chased|hunted) (?:out|away|down)", 0.75, "must"),
     (rf"(?:those|these|all|the) {_G} are (?:all )?(?:\w+ )?(?:cockroaches|rats|vermin|animals|pigs|dogs|parasites|lice|scum|thieves|dirt|filth|apes|monkeys|subhuman)", 0.95, " are "),
     (r"are (?:cockroaches|rats|vermin|animals|pigs|parasites|lice|scum) and must be", 0.95, "must be"),
     (r"because they are all (?:thieves|liars|criminals|rapists|animals|terrorists|dirty)", 0.9, "because they are"),
@@ -287,8 +291,8 @@ class Scorer:
         got: tuple[str, int] | str | None = None
         if len(bare) > 1:
             got = self.lexicon.match(bare) or (self.lexicon.match(_LONG_PAIR.sub(r"\1", bare)) if _LONG_PAIR.search(bare) else None)
-            near = self.words.match(bare)
-            if near and near[0] != bare and not (got and got[1] == 0):
+            near = self.words.match(bare) or (self.words.match(_LONG_PAIR.sub(r"\1", bare)) if _LONG_PAIR.search(bare) else None)
+            if near and near[0] != bare and not (got and got[0] == bare):
                 got = near[0]
         if len(self.info) < 500_000:
             self.info[w] = got

@@ -167,11 +167,12 @@ def spans(text: str) -> list[tuple[int, int, str, float]]:
 
     low = plain.lower()
     hints, spelled = _hints(low)
-    if "@" in plain or "at" in low and ("dot" in low or "(at" in low or "[at" in low or "( at" in low):
+    if "@" in plain or "at" in low and ("dot" in low or "(at" in low or "[at" in low or "( at" in low or _AT_HOST.search(low)):
         for m in EMAIL.finditer(plain):
             clear = "@" in m.group() or re.search(r"[(\[{]", m.group())
             local = re.split(_AT, m.group(), maxsplit=1, flags=re.I)[0]
-            explicit = clear or re.search(r"\sdot\s", m.group(), re.I) is not None and re.search(r"[._+\d-]|\w{6}", local)
+            loud = " AT " in m.group() or re.search(r"\sdot\s", m.group(), re.I)  # said out, not written
+            explicit = clear or re.search(r"[._+\d-]", local) or loud and len(local) > 5
             taken[:] = [t for t in taken if not (m.start() < t[0] < m.end() and plain[t[0]] == "@")]
             add(m.start(), m.end(), "EMAIL", 0.9 if explicit else 0.3)
     digit = _DIGIT.search(plain) is not None
@@ -205,6 +206,7 @@ def spans(text: str) -> list[tuple[int, int, str, float]]:
     return sorted(found)
 
 
+_AT_HOST = re.compile(r"\sat\s[^\W_][\w-]*\.[^\W\d_]{2,}")
 _DIGIT = re.compile(r"\d")
 # Any code point that is rewritten or is a digit or form of another script.
 _CHANGES = re.compile("[^\x00-\x7f\u00a1-\u00ac\u00ae-\u017f\u0900-\u0965\u0970-\u0be5\u2600-\u27bf\ufe0f\U0001f000-\U0001faff]")
@@ -261,10 +263,12 @@ _COUNTING = re.compile(r"(?<!\w)(?:waited|bus|route|error|line|platform|gate|lot
 def _context(plain: str, m: re.Match, words: re.Pattern, left: int = 32, right: int = 22) -> float:
     """0.4 if one of ``words`` stands just before the span, 0.25 if just after, else 0."""
     start = max(plain.rfind(c, 0, m.start()) for c in ".!?\n") if m.start() else -1
-    before = plain[max(0, m.start() - left, start) : m.start()]
-    if words.search(before):
+    if words.search(plain, max(0, m.start() - left, start), m.start()):
         return 0.4
-    return 0.25 if words.search(plain[m.end() : m.end() + right].split("\n")[0]) else 0.0
+    line = plain.find("\n", m.end())
+    stop = m.end() + right if line < 0 else min(line, m.end() + right)
+    near = words.search(plain, m.end(), stop + 12)  # a word must begin within reach
+    return 0.25 if near and near.start() < stop else 0.0
 
 
 def _number(plain: str, m: re.Match) -> tuple[str, float]:
