@@ -40,9 +40,11 @@ ID_NEAR, PHONE_NEAR, NOT_NEAR = _near(ID_WORDS), _near(PHONE_WORDS), _near(NOT_W
 _W = r"[^\W\d_][\w'’-]*"
 _STREET = r"(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|boulevard|blvd|way|close|court|crescent|terrace|square|cross|nagar|marg|gali|salai|theru|veethi|colony|layout|block|highway|path|row)"
 _OWN = rf"(?!(?:lleva|está|estaba|esta|sigue|ya|no|não|estava|continua|ainda|faz|hace|há|que|en|em|y|e|rota|foi|tem|tiene|continua|there|was|is)\\b){_W}"  # a word of a street's name
+# Words that no street is called by; a number before one of them counts something.
+_NO_STREET = r"(?!(?:the|from|for|of|and|to|at|in|on|was|were|is|calls+|hours*|days|weeks|years|jours|tage|días|dias|people|hai|ki|ka|ke|se|din)\b)"
 ADDRESSES = [
     # 12 Mill Road; No. 54/5, Temple Street; Flat 9C, 151 Station Rd; door no 44, 5th temple street; house 9, canal lane
-    rf"(?:(?:flat|apt|apartment|door|house|plot|unit|no|h\.?no)\.?\s*)*(?:no\.?\s*)?(?<![\w#@/.-])\d{{1,5}}[a-z]?(?:[/-]\d{{1,4}}[a-z]?)?\s*,?\s+(?:\d{{1,3}}(?:st|nd|rd|th)?\s+|\d{{1,5}}[a-z]?\s+)?(?:{_W}\s+){{1,4}}?{_STREET}\b\.?",
+    rf"(?:(?:flat|apt|apartment|door|house|plot|unit|no|h\.?no)\.?\s*)*(?:no\.?\s*)?(?<![\w#@/.-])\d{{1,5}}[a-z]?(?:[/-]\d{{1,4}}[a-z]?)?\s*,?\s+(?:\d{{1,3}}(?:st|nd|rd|th)?\s+|\d{{1,5}}[a-z]?\s+)?(?:{_NO_STREET}{_W}\s+){{1,4}}?{_STREET}\b\.?",
     # calle Mayor 10; avenida X, 5
     rf"\b(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|carrera|rua|av\.|travessa|alameda|praça)[ \t]+(?:{_OWN}[ \t]+){{0,3}}?{_OWN}[ \t]*,?[ \t]*(?:n[.ºo°]*[ \t]*)?\d{{1,5}}[a-z]?\b(?!\s*(?:d[ií]as|semanas|meses|años|anos|horas))",
     # 80 bis, rue Victor Hugo
@@ -51,7 +53,7 @@ ADDRESSES = [
     rf"\b{_W}(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring)\s+\d{{1,4}}\s?[a-z]?\b",
     rf"\b(?:{_W}\s)?(?:Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee)\s+\d{{1,4}}\s?[a-z]?\b",
     # 38 Rajiv gali; 12 gandhi salai; 12, காந்தி தெரு; 5 गली
-    r"(?<![\w#@/.-])\d{1,5}[a-z]?(?:/\d{1,4})?\s*,?\s+(?:[^\W\d_][^\s,]*\s+){1,3}?(?:gali|galli|salai|saalai|theru|street|தெரு|சாலை|गली|मार्ग|रोड|सड़क)(?!\w)",
+    rf"(?<![\w#@/.-])\d{{1,5}}[a-z]?(?:/\d{{1,4}})?\s*,?\s+(?:{_NO_STREET}[^\W\d_][^\s,!?.]*\s+){{1,3}}?(?:gali|galli|salai|saalai|theru|street|தெரு|சாலை|गली|मार्ग|रोड|सड़क)(?!\w)",
     r"(?:मकान|घर|வீட்டு|கதவு)\s*(?:नंबर|नं|எண்)\.?\s*\d{1,5}",
 ]
 ADDRESS = re.compile("|".join(f"(?:{a})" for a in ADDRESSES), re.I)
@@ -64,7 +66,7 @@ NAME_FRAMES = [
     rf"\b(?:my|his|her) (?:full )?name is (?P<n>{_CAP} {_CAP})",
     rf"\bin the name of (?P<n>{_CAP} {_CAP})",
     rf"\b(?:this is) (?P<n>{_CAP} {_CAP}) (?:speaking|here|calling|from)\b",
-    rf"\b(?:regards|yours|sincerely|signed|thanks|cheers|greetings|love)\s*,\s*(?P<n>{_CAP} {_CAP})",
+    rf"\b(?:regards|yours (?:sincerely|truly|faithfully)|sincerely|signed|thanks|cheers|greetings|love)\s*,\s*(?P<n>{_CAP} {_CAP})",
     rf"\b(?:mr|mrs|ms|miss|dr|prof|shri|smt|sri|thiru|herr|frau|señora?|sra?|don|doña|monsieur|madame|mme|senhora?|dona)\b\.? (?P<n>{_CAP}(?: {_CAP})?)",
     rf"\b(?:ask for|spoke to|spoke with|talked to|talk to|meet|met with|call|contact) (?P<n>{_CAP} {_CAP}) (?:at|from|in|of|on|about|for)\b",
     rf"\b(?:i am|i'm) (?P<n>{_CAP} {_CAP})(?:,| from| and)\b",
@@ -296,8 +298,10 @@ def _number(plain: str, m: re.Match) -> tuple[str, float]:
         phone = 0.0
     if n < 9:
         ident = min(ident, 0.3)
-    if n == 12 and is_id and raw[0] != "+":
-        phone = 0.0
+    if social or n == 12 and is_id and raw[0] != "+":
+        phone = min(phone, 0.3) if social else 0.0
+    if raw[0] == "+":
+        ident = min(ident, 0.3)
     kind, score = ("ID", ident) if ident > phone else ("PHONE", phone)
     return kind, score - 1.0 * is_not
 
