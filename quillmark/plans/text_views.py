@@ -75,7 +75,7 @@ def _case(terms: str) -> str:
 def risk_flags(spark: SparkSession, d: str) -> DataFrame:
     """Whether a post holds a risk term of each kind."""
     t = F.col("original_text")
-    return posts(spark, d).filter("original_text is not null").select("post_id", *[F.when(F.size(T.term_hits(t, terms)) > 0, 1).otherwise(0).alias(k) for k, terms in T.HARM.items()])
+    return posts(spark, d).filter("original_text is not null").select("post_id", *[F.when(T.has_term(t, terms), 1).otherwise(0).alias(k) for k, terms in T.HARM.items()])
 
 
 @query()
