@@ -3,7 +3,8 @@
 Method: multi-probe p-stable hashing. A vector is kept in one bucket of each of
 several tables; it looks into that bucket and into perturbed ones, in the order
 in which they are expected to succeed. Candidates of all tables are merged, thinned
-by a bit sketch and reranked by the similarity of the vectors.
+by a bit sketch and reranked by the similarity of the vectors. Vectors that meet
+in crowded buckets are compared exactly instead.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.vectors import matrix, representatives, slices, small
-from quillmark.session import cut, materialise, ship_package
+from quillmark.llm.vectors import matrix, passes, representatives, slices, small, unpacked
+from quillmark.operators.components import connected_components
+from quillmark.session import materialise, ship_package
 
 BITS = 512
 
@@ -34,9 +36,8 @@ class Hashing:
     width: float = 2.0
     probes: int = 22
     seed: int = 17
-    #: A bucket with more vectors is divided by a finer hash of its own.
+    #: The vectors that meet in a bucket with more vectors are compared exactly.
     hot: int = 1000
-    levels: int = 4
 
 
 def perturbations(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -65,13 +66,13 @@ def perturbations(functions: int, probes: int) -> list[tuple[int, ...]]:
 
 
 class Tables:
-    """The hash functions of one level, drawn from the seed."""
+    """The hash functions, drawn from the seed."""
 
-    def __init__(self, h: Hashing, size: int, level: int = 0) -> None:
-        rng = np.random.default_rng([h.seed, level])
+    def __init__(self, h: Hashing, size: int) -> None:
+        rng = np.random.default_rng([h.seed, 0])
         self.h = h
-        self.tables = h.tables if level == 0 else 1
-        self.width = h.width / 3.0**level
+        self.tables = h.tables
+        self.width = h.width
         m = h.functions
         self.a = rng.standard_normal((size, self.tables * m), dtype=np.float32)
         self.b = rng.uniform(0, self.width, self.tables * m).astype(np.float32)
@@ -121,55 +122,71 @@ def _hashed(reps: DataFrame, h: Hashing, size: int, probe: bool) -> DataFrame:
     return reps.select("rid", "model", "vec").mapInArrow(run, "rid bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "rid")
 
 
-def _finer(rows: DataFrame, vectors: DataFrame, h: Hashing, size: int, level: int, probe: bool) -> DataFrame:
-    """(key, rid) within hot buckets, by hash functions of a smaller width."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tables(h, size, level)
-        for whole in batches:
-            for b in slices(whole):
-                salt = b.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                yield pa.RecordBatch.from_arrays([b.column(1), _lists(t.keys(matrix(b.column(2)), salt, probe))], names=["rid", "keys"])
-
-    return rows.join(vectors, "rid").select("key", "rid", "vec").mapInArrow(run, "rid bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "rid")
-
-
 def _met(look: DataFrame, kept: DataFrame) -> DataFrame:
     """Pairs (a < b) of vectors of which one looks into a bucket of the other."""
     pairs = look.select("key", F.col("rid").alias("x")).join(kept.select("key", F.col("rid").alias("y")), "key").filter("x <> y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def candidates(reps: DataFrame, vectors: DataFrame, h: Hashing, size: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) of representatives.
+def candidates(reps: DataFrame, h: Hashing, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct candidate pairs (a < b) of the buckets that are not hot, and ``(grp, rid)`` of the vectors that meet in hot ones.
 
-    A hot bucket is not joined as it is: its vectors, and those that look into it,
-    are hashed again by finer functions, level by level, so that no bucket makes
-    all pairs of its members. What is still hot after the last level is joined in
-    blocks, which is exact; only then is the work quadratic in the bucket.
+    Hot buckets that share a vector are one group, so two vectors that meet in
+    several of them are compared once. A group holds the vectors kept in its
+    buckets and those that look into them. None where no bucket is hot.
     """
     kept, look = _hashed(reps, h, size, False), _hashed(reps, h, size, True)
+    hot = materialise(kept.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > h.hot).select("key"), "hot-buckets")
+    if hot.isEmpty():
+        return _met(look, kept).distinct(), None
+    hint = small(hot)
+    cold = _met(look.join(hint, "key", "left_anti"), kept.join(hint, "key", "left_anti")).distinct()
+    held = materialise(kept.join(hint, "key", "left_semi"), "hot-kept")
+    shared = held.join(held.groupBy("rid").agg(F.min("key").alias("a")), "rid").select("a", F.col("key").alias("b")).distinct()
+    group = small(materialise(connected_components(shared).select(F.col("node").alias("key"), F.col("component").alias("grp")), "hot-groups"))
+    return cold, materialise(look.join(group, "key").select("grp", "rid").distinct(), "hot-members")
+
+
+def exact_pairs(members: DataFrame, vectors: DataFrame, least: float, k: int) -> DataFrame:
+    """Pairs (a < b, similarity) of at least ``least`` within the groups: of each vector its ``k`` most similar ones, ties included.
+
+    Every vector is compared with all others of its group by matrix products, so
+    nothing is missed and the work is quadratic in a group; of the similarities
+    only the best of each row leave a task.
+    """
+    rows = materialise(vectors.join(small(members), "rid").select("grp", "rid", "vec").sortWithinPartitions("grp"), "hot-vectors")
+    spare = 1e-5  # products are float32
     out = None
-    for level in range(1, h.levels + 1):
-        hot = kept.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > h.hot).select("key")
-        hot = materialise(hot, "hot-buckets")
-        if hot.isEmpty():
-            break
-        hint = small(hot)
-        cold = _met(look.join(hint, "key", "left_anti"), kept.join(hint, "key", "left_anti"))
-        out = cold if out is None else out.unionAll(cold)
-        kept_hot, look_hot = (x.join(hint, "key", "left_semi").distinct() for x in (kept, look))
-        kept = cut(_finer(kept_hot, vectors, h, size, level, False))
-        look = _finer(look_hot, vectors, h, size, level, True)
-    else:
-        blocks = 16
-        kept = kept.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
-        look = look.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-        last = look.select("key", "block", F.col("rid").alias("x")).join(kept.select("key", "block", F.col("rid").alias("y")), ["key", "block"]).filter("x <> y")
-        last = last.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return (last if out is None else out.unionAll(last)).distinct()
-    last = _met(look, kept)
-    return (last if out is None else out.unionAll(last)).distinct()
+    for shared in passes(rows, "grp"):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            other, packed = shared.value
+            group, rid = other["grp"], other["rid"]
+            for whole in batches:
+                for b in slices(whole):
+                    g, own, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2))
+                    for c in np.unique(g):
+                        at = np.flatnonzero(g == c)
+                        floor = np.full(len(at), least, np.float32)
+                        first, last = np.searchsorted(group, c, "left"), np.searchsorted(group, c, "right")
+                        for i in range(first, last, 4096):
+                            j = min(i + 4096, last)
+                            y = unpacked(packed[i:j])
+                            s = x[at] @ y.T
+                            s[own[at][:, None] == rid[None, i:j]] = -1
+                            if j - i >= k:
+                                floor = np.maximum(floor, np.partition(s, -k, 1)[:, -k])
+                            p, q = np.nonzero(s >= floor[:, None] - spare)
+                            for n in range(0, len(p), 8192):
+                                u, v = at[p[n : n + 8192]], q[n : n + 8192]
+                                exact = np.einsum("ij,ij->i", x[u].astype(np.float64), y[v].astype(np.float64))
+                                cols = [np.minimum(own[u], rid[i + v]), np.maximum(own[u], rid[i + v]), np.minimum(exact, 1.0)]
+                                yield pa.RecordBatch.from_arrays([pa.array(z) for z in cols], names=["a", "b", "similarity"]).filter(pa.array(exact >= least))
+
+        found = materialise(rows.mapInArrow(run, "a bigint, b bigint, similarity double"), "hot-pairs")
+        out = found if out is None else out.unionAll(found)
+    assert out is not None
+    return out
 
 
 def sketches(reps: DataFrame, h: Hashing, size: int) -> DataFrame:
@@ -192,13 +209,14 @@ def bit_limit(similarity: float) -> int:
     return min(BITS, math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p))))
 
 
-def similar_pairs(reps: DataFrame, vectors: DataFrame, h: Hashing, size: int, least: float) -> DataFrame:
-    """Pairs (a < b, similarity) of representatives of at least ``least``, among the candidates."""
+def similar_pairs(reps: DataFrame, vectors: DataFrame, h: Hashing, size: int, least: float, k: int) -> DataFrame:
+    """Pairs (a < b, similarity) of representatives of at least ``least``, among the candidates; of a hot group the best ``k`` of each row."""
     n = BITS // 64
     sk = small(materialise(sketches(reps, h, size), "sketches"))
     side = lambda c: sk.select(F.col("rid").alias(c), *(F.col(f"s{i}").alias(f"{c}{i}") for i in range(n)))
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(n)), F.lit(0))
-    near = candidates(reps, vectors, h, size).join(side("a"), "a").join(side("b"), "b").filter(apart <= bit_limit(least)).select("a", "b")
+    cold, hot = candidates(reps, h, size)
+    near = cold.join(side("a"), "a").join(side("b"), "b").filter(apart <= bit_limit(least)).select("a", "b")
     near = materialise(near, "near-pairs")
     involved = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     some = vectors.join(small(involved), "rid", "left_semi")
@@ -211,7 +229,10 @@ def similar_pairs(reps: DataFrame, vectors: DataFrame, h: Hashing, size: int, le
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.minimum(s, 1.0))], names=["a", "b", "similarity"]).filter(keep)
 
     both = near.join(some.select(F.col("rid").alias("a"), F.col("vec").alias("va")), "a").join(some.select(F.col("rid").alias("b"), F.col("vec").alias("vb")), "b")
-    return both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, similarity double")
+    pairs = both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, similarity double")
+    if hot is None:
+        return pairs
+    return pairs.unionAll(exact_pairs(hot, reps.select("rid", "vec"), least, k)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def neighbours(vectors: DataFrame, heads: DataFrame, *, k: int = 10, least: float = 0.8, size: int = 384, hashing: Hashing | None = None) -> DataFrame:
@@ -226,7 +247,7 @@ def neighbours(vectors: DataFrame, heads: DataFrame, *, k: int = 10, least: floa
     ship_package(vectors.sparkSession)
     h = hashing or Hashing()
     reps, members = representatives(vectors, heads)
-    pairs = materialise(similar_pairs(reps, vectors, h, size, least), "similar-pairs")
+    pairs = materialise(similar_pairs(reps, vectors, h, size, least, k + 1), "similar-pairs")
     by_key = Window.partitionBy("rep").orderBy("key")
     first = members.withColumn("n", F.row_number().over(by_key)).filter(F.col("n") <= k + 1).select("rep", "key")
     way = pairs.select(F.col("a").alias("q"), F.col("b").alias("rep"), "similarity").unionAll(pairs.select(F.col("b").alias("q"), F.col("a").alias("rep"), "similarity"))

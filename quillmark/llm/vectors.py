@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     """Unit vectors (float32) of a column of packed ones."""
     if not len(column):
         return np.zeros((0, 1), np.float32)
-    packed = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(len(column), -1)
+    return unpacked(np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(len(column), -1))
+
+
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    """Unit vectors (float32) of packed ones."""
     return packed.astype(np.float32) * np.float32(1 / SCALE)
 
 
@@ -86,6 +91,24 @@ def slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, rows)
 
 
+def passes(rows: DataFrame, *order: str, block: int = 65_536) -> Iterator[Broadcast]:
+    """All of ``rows`` in broadcasts of about ``block`` rows, for comparing every row with every other without a shuffle.
+
+    ``rows`` holds rid, vec and the columns of ``order``; a broadcast is a dict of
+    the other columns as arrays and the packed vectors, sorted by ``order`` and
+    rid. It is dropped when the next one is asked for, so what is computed from it
+    must be written before.
+    """
+    n = max(1, -(-rows.count() // block))
+    for i in range(n):
+        t = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(n)) == i).select(*order, "rid", "vec").toArrow().sort_by([(c, "ascending") for c in (*order, "rid")])
+        packed = np.frombuffer(b"".join(x.as_py() for x in t.column("vec")), np.int16).reshape(t.num_rows, -1 if t.num_rows else 1)
+        shared = rows.sparkSession.sparkContext.broadcast(({c: t.column(c).to_numpy() for c in (*order, "rid")}, packed))
+        del t, packed
+        yield shared
+        shared.unpersist()
+
+
 def only(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``vectors`` whose ``rid`` is in ``ids``.
 

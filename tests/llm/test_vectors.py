@@ -68,6 +68,15 @@ def test_hot_bucket_is_refined(spark):
     assert (found > 0.99).all()
 
 
+def test_hot_buckets_keep_their_neighbours(spark):
+    rng = np.random.default_rng(3)
+    # similarities of about 0.87 within each of two dense groups, all above the floor of 0.80
+    x = np.concatenate([np.ones((700, SIZE)), np.tile([1.0, -1.0], (400, SIZE // 2))]) + 0.38 * rng.standard_normal((1100, SIZE))
+    got = {(a, b) for a, b, _ in near(spark, table(spark, x), k=10, hashing=neighbours.Hashing(hot=20))}
+    want = brute(x, ["m"] * len(x), 10, 0.8)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.02 * len(got)
+
+
 def test_perturbations_in_order():
     sets = neighbours.perturbations(4, 12)
     assert sets[0] == (0,) and len(set(sets)) == 12 and all(len({min(r, 7 - r) for r in s}) == len(s) for s in sets)
