@@ -2,8 +2,9 @@
 
 Method: bisecting k-means. The nodes of largest dispersion are split in two, again
 and again, by passes over all vectors, until the leaves are compact; leaves whose
-typical members are linked are one cluster. An exact check of links then settles
-which posts belong, and finds small clusters among the posts no leaf explains.
+typical members are linked are one cluster. An exact check of all links between
+different sets then joins sets and posts the leaves left apart, and finds small
+clusters among the posts no leaf explains.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.lookalike import UnionFind
-from quillmark.llm.vectors import SCALE, matrix, only, small
+from quillmark.llm.vectors import SCALE, matrix, only, passes, small, unpacked
 from quillmark.operators.components import connected_components
 from quillmark.session import materialise, ship_package
 
@@ -234,12 +235,11 @@ def _diffuse(node: Node, sample: np.ndarray, limits: Limits) -> bool:
 def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_size: int = 5, limits: Limits | None = None) -> DataFrame:
     """Members of clusters: ``key``, ``model``, ``cluster`` (its smallest key), ``size``, ``similarity`` to the centre, ``typical`` (rank by it).
 
-    A post belongs to a cluster if it is linked, at a similarity of
-    ``limits.link`` or more, to one of the centre-nearest members of its leaf, or
-    of any other leaf. Posts with no such link are compared with each other in
-    blocks, exactly, and linked sets of ``least_size`` or more are clusters too.
-    A link that only runs through two untypical members of different leaves is
-    not looked for. Models are never mixed. An empty table gives no rows.
+    Posts linked, at a similarity of ``limits.link`` or more, to a centre-nearest
+    member of a leaf make a first set with it. Then every post is compared,
+    exactly, with all posts outside its set, so that clusters are the largest sets
+    joined by links, whichever members these run through; those of ``least_size``
+    or more count. Models are never mixed. An empty table gives no rows.
     """
     limits = limits or Limits()
     spark = vectors.sparkSession
@@ -308,50 +308,59 @@ def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_siz
                 s[models_here[part][:, None] != model[None, :]] = -1
                 hit = s.max(1) >= link
                 out[part[hit]] = group[s.argmax(1)][hit]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array(near)], names=["rid", "grp", "near"])
-
-    if not reps:
-        attached = spark.createDataFrame([], "rid bigint, grp bigint, near double")
-    else:
-        attached = materialise(rows.mapInArrow(attach, "rid bigint, grp bigint, near double"), "attached")
-    loose = rows.join(small(attached.filter("grp < 0").select("rid")), "rid", "left_semi")
-    pairs = block_links(loose, limits.link)
-    comp = connected_components(pairs).select(F.col("node").alias("rid"), F.concat(F.lit("r"), F.col("component").cast("string")).alias("grp"))
-    of = attached.filter("grp >= 0").select("rid", F.concat(F.lit("t"), F.col("grp").cast("string")).alias("grp")).unionByName(comp)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array(near), b.column(1), b.column(2)], names=["rid", "grp", "near", "model", "vec"])
+
+    schema = "rid bigint, grp bigint, near double, model string, vec binary"
+    attached = materialise(rows.mapInArrow(attach, schema), "attached") if reps else spark.createDataFrame([], schema)
+    comp = small(materialise(connected_components(set_links(attached, limits.link)), "components"))
+    own = attached.select("rid", F.when(F.col("grp") < 0, F.col("rid")).otherwise(-1 - F.col("grp")).alias("node"))
+    of = own.join(comp, "node", "left").select("rid", F.coalesce("component", "node").alias("grp"))
     sized = of.join(heads.select("rid", "key", "model", "extra"), "rid").join(attached.select("rid", "near"), "rid")
     info = sized.groupBy("grp").agg(F.count("*").alias("size"), F.min("key").alias("cluster")).filter(F.col("size") >= least_size)
     return sized.join(info, "grp").select("key", "model", "cluster", "size", F.col("near").alias("similarity"), "extra")
 
 
-def block_links(loose: DataFrame, link: float, block: int = 2048) -> DataFrame:
-    """Links (a < b) among the rows of ``loose``, every pair of blocks of a model being compared by matrix product.
+def set_links(attached: DataFrame, link: float) -> DataFrame:
+    """Links (a, b) between different sets: every row is compared with all rows of its model outside its set.
 
-    All links are kept. The work is quadratic in the rows that no leaf explains,
-    which are few where clusters exist; a task holds two blocks of about ``block``
-    vectors.
+    ``attached`` holds rid, grp (the set; negative for a row of its own), model and
+    vec. A node is -1 - grp for a set and rid for a row of its own. Rows and
+    broadcasts are ordered by set, each pair of sets being compared from the
+    smaller side only. The work is quadratic in the rows, less the pairs within sets.
     """
-    n = max(1, loose.count())
-    blocks = int(np.ceil(n / block))
-    side = loose.withColumn("blk", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
-    left = side.select("model", F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("j"), F.lit(0).alias("side"), "rid", "vec")
-    right = side.select("model", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), "rid", "vec")
-
-    def compare(t: pa.Table) -> pa.Table:
-        s = t.column("side").to_numpy()
-        rid = t.column("rid").to_numpy()
-        x = matrix(t.column("vec").combine_chunks())
-        a, b = np.flatnonzero(s == 0), np.flatnonzero(s == 1)
-        hits = [], []
-        for k in range(0, len(a), 1024):
-            p, q = np.nonzero(x[a[k : k + 1024]] @ x[b].T >= link)
-            u, v = rid[a[k + p]], rid[b[q]]
-            keep = u != v
-            hits[0].append(np.minimum(u, v)[keep])
-            hits[1].append(np.maximum(u, v)[keep])
-        cols = [pa.array(np.concatenate(h) if h else np.zeros(0, np.int64), pa.int64()) for h in hits]
-        return pa.Table.from_arrays(cols, names=["a", "b"])
-
-    return left.unionByName(right).groupBy("model", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    rows = attached.select("rid", "model", F.when(F.col("grp") < 0, 2**62).otherwise(F.col("grp")).alias("grp"), "vec")
+    out = None
+    for shared in passes(rows, "model", "grp"):
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            other, packed = shared.value
+            model, group = other["model"], other["grp"]
+            node = np.where(group == 2**62, other["rid"], -1 - group)
+            for b in batches:
+                mine, g = np.array(b.column(1).to_pylist(), object), b.column(2).to_numpy()
+                ids = np.where(g == 2**62, b.column(0).to_numpy(), -1 - g)
+                for m in np.unique(mine):
+                    at = np.flatnonzero(mine == m)
+                    at = at[np.argsort(g[at], kind="stable")]
+                    x = matrix(b.column(3).take(pa.array(at)))
+                    first, last = np.searchsorted(model, m, "left"), np.searchsorted(model, m, "right")
+                    for i in range(first, last, 4096):
+                        j = min(i + 4096, last)
+                        top = group[j - 1]  # the rows of larger sets meet these from the other side
+                        n = len(at) if top == 2**62 else int(np.searchsorted(g[at], top, "left"))
+                        y = unpacked(packed[i:j]) if n else None
+                        for p in range(0, n, 1024):
+                            u, v = np.nonzero(x[p : min(p + 1024, n)] @ y.T >= link)
+                            u, v = at[p + u], i + v
+                            keep = (g[u] < group[v]) | (g[u] == 2**62) & (group[v] == 2**62) & (ids[u] < node[v])
+                            ends = np.unique(np.stack([ids[u[keep]], node[v[keep]]], 1), axis=0)
+                            if len(ends):
+                                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+        found = materialise(rows.mapInArrow(compare, "a bigint, b bigint").distinct(), "set-links")
+        out = found if out is None else out.unionAll(found)
+    assert out is not None
+    return out
 
 
 def topics(members: DataFrame) -> DataFrame:

@@ -121,6 +121,20 @@ def test_clusters_against_components(spark, seed):
     assert d.size == len(got[d.cluster]) and len(d.typical_posts) == 5
 
 
+def test_clusters_joined_through_untypical_members(spark):
+    # Two tight groups on axes 0 and 4; p00040 and p00041 lead from them to each other, p00042 hangs on p00040 only, p00043 is alone.
+    rng = np.random.default_rng(4)
+    tight = [np.eye(SIZE)[a] + 0.01 * rng.standard_normal((20, SIZE)) for a in (0, 4)]
+    bridge = np.zeros((4, SIZE))
+    bridge[0, [0, 8]] = bridge[1, [4, 8]] = 0.5, 0.866
+    bridge[2, [8, 9]] = 0.5, 0.866
+    bridge[3, 20] = 1
+    x = np.concatenate([*tight, bridge])
+    v, h = vectors.usable_vectors(table(spark, x), size=SIZE, extra="topic")
+    got = {r.key: r.cluster for r in clusters.clusters(v, h, size=SIZE, limits=clusters.Limits(typical=2)).collect()}
+    assert got == {f"p{i:05d}": "p00000" for i in range(43)}
+
+
 def test_clusters_empty(spark):
     v, h = vectors.usable_vectors(table(spark, [[1.0] * SIZE]).limit(0), size=SIZE, extra="topic")
     assert clusters.clusters(v, h, size=SIZE).count() == 0
