@@ -92,6 +92,13 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9
 SECOND = set("you your youre yours u ur yourself du dich dein deine dir ihr tu te toi ton ta vous eres tus tú ti vos voce você seu sua tua teu és es tum tumhara tumhari tera teri tere tujhe aap nee unakku un unga ni poda podi vaaya da di तू तुम तेरा तेरी तुझे நீ உன் உனக்கு".split())
 HOSTILE = set("shut get lost such what only every this so halt verpiss fresse maul cala cállate callate some daqui ferme va crever casse quel quelle sale que qué tan un una vrai chup kar ekdum aise joote maaro ellam manushane illa moodu gehört verprügelt hope deserve ugly stupid filthy disgusting rotten pathetic worthless brainless talks again nobody asked would write this face mouth swallow".split())
 QUOTING = set("called calling said says word words report reported reporting stop stopped term quote quoted slur slurs abuse abusive condemn wrong unfair nobody's apologise apologised apologized banned removed deleted headline lyrics dictionary meaning means llamar llamó llamaron dijo decir palabra palabras appeler appelé dit mot nannte genannt gesagt wort chamou chamar disse palavra kaha bola solli sonnan sonnaanga kehna".split())
+# Words that, before a term or right after it, report it or speak of it as a word.
+REPORTING = set("called calling calls call said says saying word words term quote quoted slur slurs means meaning llamar llamó llamaron dijo decir palabra palabras appeler appelé dit mot nannte genannt gesagt wort chamou chamar disse palavra kaha bola solli sonnan sonnaanga kehna".split())
+# Who a term is said to, and what may stand between.
+ADDRESSED = set("you youre you're u ya du tu vous eres você voce tum nee तू तुम நீ".split())
+BETWEEN = set("are re r are such what a an the absolute complete total utter bloody fucking damn little old bist ein eine so un una es tan espece de".split())
+# Words after a mild term that make it a verb.
+OBJECTS = set("around about out it that this these those them him her me us up on off down with yourself into the your my our his their".split())
 #: One-sided rates for a term's share of the score.
 DIRECT, QUOTE = 0.45, 0.6
 
@@ -279,6 +286,7 @@ class Scorer:
         for x, ks in owners.items():
             self.frames.add_word(x, ks)
         self.frames.make_automaton()
+        self.ordinary = {_LONG_PAIR.sub(r"\1", w) for w in ORDINARY}
         self.info: dict[str, tuple[str, int] | str | None] = {}
 
     def token(self, w: str) -> tuple[str, int] | str | None:
@@ -290,7 +298,11 @@ class Scorer:
         bare = w.strip("'’-*_")
         got: tuple[str, int] | str | None = None
         if len(bare) > 1:
-            got = self.lexicon.match(bare) or (self.lexicon.match(_LONG_PAIR.sub(r"\1", bare)) if _LONG_PAIR.search(bare) else None)
+            got = self.lexicon.match(bare)
+            if not got and bare not in ORDINARY and _LONG_PAIR.search(bare):
+                short = _LONG_PAIR.sub(r"\1", bare)
+                if short in self.lexicon.terms or short not in self.ordinary:
+                    got = self.lexicon.match(short)
             near = self.words.match(bare) or (self.words.match(_LONG_PAIR.sub(r"\1", bare)) if _LONG_PAIR.search(bare) else None)
             if near and near[0] != bare and not (got and got[0] == bare):
                 got = near[0]
@@ -333,6 +345,19 @@ class Scorer:
                 return x
         return word
 
+    def addressed(self, tokens: list[str], i: int) -> bool:
+        """Whether the term at ``i`` is said to somebody: 'you X', 'you are such a X'."""
+        if i + 1 < len(tokens) and tokens[i + 1] in OBJECTS:
+            return False
+        j = i - 1
+        while j >= max(0, i - 4) and (tokens[j] in BETWEEN or tokens[j] in _ADJECTIVES):
+            j -= 1
+        return j >= 0 and tokens[j] in ADDRESSED
+
+    def reported(self, tokens: list[str], i: int) -> bool:
+        """Whether a reporting word governs the term at ``i``: up to four words before it, or 'X is a slur'."""
+        return any(x in REPORTING for x in tokens[max(0, i - 4) : i]) or any(x in ("slur", "slurs", "word", "term") for x in tokens[i + 1 : i + 5])
+
     def score(self, text: str) -> tuple[float, list[str]]:
         """Score in 0..1 and the evidence found."""
         t = self.plain(text)
@@ -347,13 +372,16 @@ class Scorer:
             kind, weight = self.lexicon.terms[term]
             window = tokens[max(0, i - WINDOW) : i + 1 + WINDOW]
             close = tokens[max(0, i - 3) : i] + tokens[i + 1 : i + 3]
-            s = weight - 0.05 * distance
+            said_to = self.addressed(tokens, i)
+            s = weight - 0.05 * max(0, distance - 1)  # one edit is a plain misspelling
             if any(x in SECOND for x in close):
                 s += DIRECT * 0.6
+            if said_to and kind == "insult":
+                s = max(s, LEAST)
             s += 0.12 * min(3, sum(x in HOSTILE or x in _ADJECTIVES for x in close))
             terms = sum(1 for j, h in special if j != i and abs(j - i) <= WINDOW and not isinstance(h, str) and self.lexicon.terms[h[0]][0] == kind)
             s += 0.2 * min(2, terms)
-            if any(x in QUOTING for x in window):
+            if self.reported(tokens, i) if said_to else any(x in QUOTING for x in window):
                 s -= QUOTE
             evidence.append(term)
             best = max(best, s)

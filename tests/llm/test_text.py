@@ -215,3 +215,11 @@ def test_label_faults(spark):
     got = {(r.post_id, r.field_name): r.lang for r in language.label_faults(found, info).collect()}
     assert {p for p, f in got if f == "lang_hint"} == {p for p, (said, true) in truth.items() if said != true}
     assert ("x:0", "primary_lang") in got and ("x:1", "primary_lang") in got and ("x:0", "is_code_mixed") in got and ("x:1", "is_code_mixed") not in got
+
+
+def test_misspelt_mild_and_unquoted_insults():
+    s = abuse.Scorer()
+    for t in ("the mayor is an idoit", "you clown", "du Depp", "stop lying you moron"):
+        assert s.score(t)[0] >= abuse.LEAST, t
+    for t in ("they called you a moron", "you fool around too much", "naangaaaa vandhu paathom", "the word idiot is wrong", "stop calling people idiots"):
+        assert s.score(t)[0] < abuse.LEAST, t
