@@ -86,6 +86,10 @@ def rake(tokens: np.ndarray, axes: list[np.ndarray], shares: list[np.ndarray], c
     return uses
 
 
+#: Rows of targets that may be given; a table with more is refused, not cut.
+MOST_TARGETS = 10_000
+
+
 def mix(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", column: str = "text", tokenizer: str = TOKENIZER, seed: int = 7) -> DataFrame:
     """Documents to use, with ``source``, ``n_tokens`` and ``uses`` (1..max_repeats).
 
@@ -103,7 +107,10 @@ def mix(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", column
     spark = documents.sparkSession
     kind = F.coalesce(F.lower(F.trim("content_kind")), F.lit("")) if "content_kind" in documents.columns else F.lit("")
     base = documents.select(F.col(key), source_name(F.col("source")).alias("source"), language_name(F.col("lang")).alias("lang"), kind.alias("kind"), column)
-    goal = {r.source: r for r in targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().limit(10_000).collect()}
+    wanted = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().limit(MOST_TARGETS + 1).collect()
+    if len(wanted) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} sources have a target")
+    goal = {r.source: r for r in wanted}
     known = base.filter(F.col("source").isin(list(goal))) if goal else base.limit(0)
     counted = materialise(token_counts(known, column, tokenizer).filter("n_tokens > 0"), "tokens")
     # One row for each (source with a target, language tag, kind): dimension values, not documents.

@@ -55,6 +55,14 @@ def test_leaks_in_blocks_and_empty(spark, monkeypatch):
 # --- problem 9
 
 
+def test_too_many_targets_are_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "x", "en"), (2, "a c", "y", "en")], "doc_id bigint, text string, source string, lang string")
+    targets = spark.createDataFrame([("x", 0.5, 1), ("y", 0.5, 1)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "MOST_TARGETS", 1, raising=False)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets)
+
+
 def test_mix_meets_shares(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("word" for _ in range(rng.randint(1, 60))), rng.choice(["en", "EN-us", None, "ta"]), rng.choice(["a", "A", " b", "b", "c", None, "x"]), "k") for i in range(3000)] + [(-1, None, "en", "a", "k"), (-2, "", "en", "a", "k")]
