@@ -21,6 +21,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = now.get() if now.isDefined() else None
     if where is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -44,6 +47,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables, below the shared folder only, that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        own = f"{checkpoint_dir(spark)}/quillmark/".split(":", 1)[-1].replace("//", "/")
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            if own in folder.replace("//", "/"):
+                where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on every executor (once for a session)."""
     sc = spark.sparkContext
