@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.vectors import matrix, passes, representatives, slices, small, unpacked
 from quillmark.operators.components import connected_components
-from quillmark.session import materialise, ship_package
+from quillmark.session import discard, materialise, ship_package
 
 BITS = 512
 
@@ -33,8 +33,8 @@ class Hashing:
 
     tables: int = 8
     functions: int = 20
-    width: float = 2.0
-    probes: int = 22
+    width: float = 2.3
+    probes: int = 10
     seed: int = 17
     #: The vectors that meet in a bucket with more vectors are compared exactly.
     hot: int = 1000
@@ -212,12 +212,14 @@ def bit_limit(similarity: float) -> int:
 def similar_pairs(reps: DataFrame, vectors: DataFrame, h: Hashing, size: int, least: float, k: int) -> DataFrame:
     """Pairs (a < b, similarity) of representatives of at least ``least``, among the candidates; of a hot group the best ``k`` of each row."""
     n = BITS // 64
-    sk = small(materialise(sketches(reps, h, size), "sketches"))
+    drawn = materialise(sketches(reps, h, size), "sketches")
+    sk = small(drawn)
     side = lambda c: sk.select(F.col("rid").alias(c), *(F.col(f"s{i}").alias(f"{c}{i}") for i in range(n)))
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(n)), F.lit(0))
     cold, hot = candidates(reps, h, size)
     near = cold.join(side("a"), "a").join(side("b"), "b").filter(apart <= bit_limit(least)).select("a", "b")
     near = materialise(near, "near-pairs")
+    discard(drawn)
     involved = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     some = vectors.join(small(involved), "rid", "left_semi")
 
