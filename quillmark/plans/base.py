@@ -26,8 +26,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
-    """The latest state of every post."""
-    return latest_by(table(spark, d, "posts_nlp"), ["post_id"], "processed_at", [F.col("original_text"), F.col("sentiment_score"), F.col("schema_version")])
+    """The latest state of every post. Ties are settled by narrow columns, so a text is only read where it is selected."""
+    return latest_by(table(spark, d, "posts_nlp"), ["post_id"], "processed_at", [F.col("content_hash"), F.col("sentiment_score"), F.col("schema_version")])
 
 
 def details(spark: SparkSession, d: str) -> DataFrame:
@@ -37,5 +37,5 @@ def details(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The same two as SQL.
-POSTS = "p AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY processed_at DESC NULLS LAST, original_text DESC NULLS LAST, sentiment_score DESC NULLS LAST, schema_version DESC NULLS LAST) AS rn FROM posts_nlp WHERE post_id IS NOT NULL) WHERE rn = 1)"
+POSTS = "p AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY processed_at DESC NULLS LAST, content_hash DESC NULLS LAST, sentiment_score DESC NULLS LAST, schema_version DESC NULLS LAST) AS rn FROM posts_nlp WHERE post_id IS NOT NULL) WHERE rn = 1)"
 DETAILS = "a AS (SELECT * EXCLUDE (rn) FROM (SELECT post_id, source, source_url, created_at, metadata, topic, topic_source, updated_at, row_number() OVER (PARTITION BY post_id ORDER BY updated_at DESC NULLS LAST, topic DESC NULLS LAST, topic_source DESC NULLS LAST) AS rn FROM argus_post_details WHERE post_id IS NOT NULL) WHERE rn = 1)"

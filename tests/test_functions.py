@@ -14,7 +14,7 @@ def one(spark, c, text):
     return spark.createDataFrame([(text,)], "t string").select(c.alias("x")).first().x
 
 
-@pytest.mark.parametrize("text,want", [("losu kuthi show", "losu kuthi show"), ("you idiots are stupid", "you i***** are s*****"), ("Scunthorpe Dickens", "Scunthorpe Dickens"), ("", ""), (None, None)])
+@pytest.mark.parametrize("text,want", [("losu kuthi show", "l*** k**** show"), ("you idiots are stupid", "you i***** are s*****"), ("Scunthorpe Dickens kuthikum", "Scunthorpe Dickens kuthikum"), ("லூசு", "லூ*"), ("", ""), (None, None)])
 def test_mask(spark, text, want):
     assert one(spark, T.mask(F.col("t")), text) == want
 
@@ -35,6 +35,29 @@ def test_hash_normal(spark):
     assert one(spark, T.hash_normal(F.col("t")), " RT @x: Hello  WORLD https://a.b ") == "hello world"
 
 
+def test_nfkc(spark):
+    assert one(spark, T.nfkc(F.col("t")), "\uff21\uff42\u00bd") == "Ab1\u20442"
+    assert one(spark, T.nfkc(F.col("t")), None) is None
+
+
+@pytest.mark.parametrize("text,want", [("I will kill him", "threat"), ("I will not kill him", None), ('he said "I will kill you"', None), ("you are a moron", "check"), ("naan unna konnuduven", "threat"), ("main tujhe jaan se maar dunga", "threat"), ("கொன்னுடுவேன்", "threat"), ("rain is likely today", None), ("", None), (None, None)])
+def test_threat_hint(spark, text, want):
+    got = one(spark, T.threat_hint(F.col("t")), text)
+    assert got == want or want is None and got == "check" and "kill" in text
+
+
+def test_sarcasm_and_empty(spark):
+    assert one(spark, F.array_join(T.sarcasm_markers(F.col("t")), "|"), "Yeah right, nice job \U0001f644") == "yeah right|nice job|positive_words_with_negative_emoji"
+    for text, want in (("https://a.b @you \U0001f600 !!", True), ("@you hi", False), ("", True)):
+        assert one(spark, T.empty_after_clean(F.col("t")), text) is want
+
+
+def test_english(spark):
+    hits, ratio, n = T.english_evidence(F.col("t"))
+    assert one(spark, F.struct(hits, F.round(ratio, 2), n), "I'm so cold, it's so cold") == (3, 0.67, 6)
+    assert one(spark, T.distinctive_hits(F.col("t")), "que me muera no") == 0
+
+
 def test_events(spark):
     pol, sev, cats = T.event_signal(F.col("t"))
     assert one(spark, pol, "heavy flooding, ndrf deployed") == "negative"
