@@ -104,29 +104,43 @@ def code(label: str | None) -> str | None:
 _SKIP = re.compile(r"https?://\S+|www\.\S+|\S*@\S+|[#@][\w.]+|\[[A-Z]+\]")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏॢॣஂா-்ௗ'’‌‍])*")
 _PLACE = re.compile(r".{3,}(?:nagar|patti|pettai|malai|gram|kulam|thurai|vadi|puram|kadu|pur|abad|ville|burg|stadt)\Z")
+_ANY_DIGIT = re.compile(r"\d")
 _MANY = re.compile(r"([^\W\d_])\1{2,}")
 _REWRITER: list[Rewriter] = []
 
 
-def words(text: str) -> list[tuple[int, int, str]]:
-    """Words that tell a language: (start, end, folded word). Links, tags, personal data, numbers and place names are left out."""
-    if not text.isascii():
+def _folded(word: str) -> str:
+    """A word as the model knows it: look-alikes equal, lower case, drawn-out letters once; empty for place names."""
+    if not word.isascii():
         if not _REWRITER:
             _REWRITER.append(Rewriter(classes({chr(i): 1000 for i in range(32, 127)} | {chr(i): 1 for i in range(0xFF01, 0xFF5F)})))
-        fold = _REWRITER[0]
-    else:
-        fold = str
-    banned = [m.span() for m in _SKIP.finditer(text)] if any(c in text for c in "@#/[") else []
+        word = _REWRITER[0](word)
+    w = _MANY.sub(r"\1", word.lower().strip("'’"))
+    return "" if _PLACE.match(w) else w
+
+
+_FOLDED: dict[str, str] = {}
+
+
+def words(text: str) -> list[tuple[int, int, str]]:
+    """Words that tell a language: (start, end, folded word). Links, tags, personal data, numbers and place names are left out."""
+    banned = [m.span() for m in _SKIP.finditer(text)] if "@" in text or "#" in text or "/" in text or "[" in text or "www." in text else []
     banned += [(a, b) for a, b, _, _ in spans(text)]
+    digits = _ANY_DIGIT.search(text) is not None
     out = []
     for m in _WORD.finditer(text):
         a, b = m.span()
         if banned and any(x <= a < y for x, y in banned):
             continue
-        if a and text[a - 1].isdigit() or b < len(text) and text[b : b + 1].isdigit():
+        if digits and (a and text[a - 1].isdigit() or text[b : b + 1].isdigit()):
             continue
-        w = _MANY.sub(r"\1", fold(m.group()).lower().strip("'’"))
-        if w and not _PLACE.match(w):
+        word = m.group()
+        w = _FOLDED.get(word)
+        if w is None:
+            w = _folded(word)
+            if len(_FOLDED) < 300_000:  # a memory, not a limit: a word beyond it is folded again
+                _FOLDED[word] = w
+        if w:
             out.append((a, b, w))
     return out
 
@@ -201,54 +215,112 @@ class LanguageModel:
         p = np.exp(s - s.max())
         return p / p.sum()
 
-    def path(self, ws: list[str]) -> list[int]:
-        """The best language of each word, with a price of ``SWITCH`` for each change."""
-        e = np.stack([self.word(w)[2] for w in ws])
-        first = e.argmax(1)
-        if (first == first[0]).all():
-            return first.tolist()
-        v = e[0].copy()
-        back = np.empty((len(ws), len(self.langs)), int)
+    def paths(self, scores: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The best language of each word of each text, with a price of ``SWITCH`` for each change.
+
+        ``flat`` holds the words of all texts as rows of ``scores``, ``ends`` where a
+        text ends. Texts whose words agree need no search; the others are searched
+        together, in order of length, one step of all of them at a time.
+        """
+        starts = np.concatenate([[0], ends[:-1]])
+        best = scores.argmax(1)[flat]
+        agree = np.minimum.reduceat(best, starts) == np.maximum.reduceat(best, starts)
+        size = ends - starts
+        open_texts = np.flatnonzero(~agree)
+        open_texts = open_texts[np.argsort(size[open_texts], kind="stable")]
         own = np.arange(len(self.langs))
-        for t in range(1, len(ws)):
-            top = int(v.argmax())
-            jump = v[top] - SWITCH > v
-            back[t] = np.where(jump, top, own)
-            v = np.where(jump, v[top] - SWITCH, v) + e[t]
-        at = int(v.argmax())
-        out = [at]
-        for t in range(len(ws) - 1, 0, -1):
-            at = int(back[t, at])
-            out.append(at)
-        return out[::-1]
+        padded = np.vstack([scores, np.zeros(len(self.langs))])
+        for i in range(0, len(open_texts), 256):
+            group = open_texts[i : i + 256]
+            n, longest = len(group), int(size[group].max())
+            place = starts[group][:, None] + np.arange(longest)
+            inside = np.arange(longest) < size[group][:, None]
+            word = np.where(inside, flat[np.minimum(place, len(flat) - 1)], len(scores))
+            back = np.empty((longest, n, len(self.langs)), np.int16)
+            rows = np.arange(n)
+            v = padded[word[:, 0]]
+            for t in range(1, longest):
+                top = v.argmax(1)
+                changed = (v[rows, top] - SWITCH)[:, None]
+                jump = changed > v
+                back[t] = np.where(jump, top[:, None], own)
+                v = np.where(jump, changed, v) + padded[word[:, t]]
+            at = v.argmax(1)  # past its end a text keeps its best language
+            path = np.empty((n, longest), np.int64)
+            for t in range(longest - 1, 0, -1):
+                path[:, t] = at
+                at = back[t][rows, at]
+            path[:, 0] = at
+            best[place[inside]] = path[inside]
+        return best
+
+    def read_all(self, texts: list[str | None]) -> list[dict | None]:
+        """Language, confidence and segments of texts; None for those without words.
+
+        Every distinct word is scored once for all texts.
+        """
+        found = [words(t) if t else [] for t in texts]
+        number: dict[str, int] = {}
+        flat = np.array([number.setdefault(w, len(number)) for f in found for _, _, w in f], np.int64)
+        if not len(flat):
+            return [None] * len(texts)
+        scored = [self.word(w) for w in number]
+        raw, norm2 = np.stack([x[0] for x in scored]), np.array([x[1] for x in scored])
+        full = [i for i, f in enumerate(found) if f]
+        ends = np.cumsum([len(found[i]) for i in full])
+        path = self.paths(np.stack([x[2] for x in scored]), flat, ends)
+        mains, sets, segments = [], [], []  # a segment: [language, first word, end], by place in flat
+        first = 0
+        for end in ends.tolist():
+            own = path[first:end].tolist()
+            runs: list[list[int]] = []
+            for i, k in enumerate(own, first):
+                if runs and runs[-1][0] == k:
+                    runs[-1][2] = i + 1
+                else:
+                    runs.append([k, i, i + 1])
+            if len(runs) == 1:
+                main, langs, merged = own[0], {own[0]}, runs
+            else:
+                count = Counter(own)
+                main = max(count, key=lambda k: (count[k], -own.index(k)))
+                langs = {main} | {k for k, a, b in runs if k != main and b - a >= LEAST_RUN}
+                merged = []
+                for k, a, b in runs:
+                    k = k if k in langs else main
+                    if merged and merged[-1][0] == k:
+                        merged[-1][2] = b
+                    else:
+                        merged.append([k, a, b])
+            mains.append(main)
+            sets.append(langs)
+            segments.append(merged)
+            first = end
+        every = [s for m in segments for s in m]  # they tile ``flat``
+        starts = np.array([s[1] for s in every])
+        length = np.sqrt(np.add.reduceat(norm2[flat], starts))
+        score = np.add.reduceat(raw[flat], starts, axis=0) / np.where(length > 0, length, 1.0)[:, None]
+        score = (score + 0.2 * self.weights[-1]) / self.temperature
+        p = np.exp(score - score.max(1, keepdims=True))
+        sure = (p[np.arange(len(every)), [s[0] for s in every]] / p.sum(1)).tolist()
+        out: list[dict | None] = [None] * len(texts)
+        at = first = 0
+        for i, main, langs, merged, end in zip(full, mains, sets, segments, ends.tolist()):
+            f = found[i]
+            pieces, size, total = [], 0, 0.0
+            for (k, a, b), c in zip(merged, sure[at : at + len(merged)]):
+                pieces.append({"start": f[a - first][0], "end": f[b - 1 - first][1], "lang": self.langs[k], "confidence": c})
+                if k == main:
+                    size += b - a
+                    total += (b - a) * c
+            out[i] = {"lang": self.langs[main], "confidence": total / max(1, size), "mixed": len(langs) > 1, "langs": sorted(self.langs[k] for k in langs), "segments": pieces}
+            at += len(merged)
+            first = end
+        return out
 
     def read(self, text: str) -> dict | None:
-        """Language, confidence and segments of a text; None without words."""
-        found = words(text)
-        if not found:
-            return None
-        ws = [w for _, _, w in found]
-        path = self.path(ws)
-        runs: list[list[int]] = []
-        for i, k in enumerate(path):
-            if runs and runs[-1][0] == k:
-                runs[-1][2] = i + 1
-            else:
-                runs.append([k, i, i + 1])
-        count = Counter(path)
-        main = max(count, key=lambda k: (count[k], -path.index(k)))
-        langs = {main} | {k for k, a, b in runs if k != main and b - a >= LEAST_RUN}
-        segments = []
-        for k, a, b in runs:
-            k = k if k in langs else main
-            if segments and segments[-1][0] == k:
-                segments[-1][2] = b
-            else:
-                segments.append([k, a, b])
-        pieces = [{"start": found[a][0], "end": found[b - 1][1], "lang": self.langs[k], "confidence": float(self.together(ws[a:b])[k])} for k, a, b in segments]
-        size = sum(b - a for k, a, b in segments if k == main)
-        sure = sum((b - a) * s["confidence"] for (k, a, b), s in zip(segments, pieces) if k == main) / max(1, size)
-        return {"lang": self.langs[main], "confidence": sure, "mixed": len(langs) > 1, "langs": sorted(self.langs[k] for k in langs), "segments": pieces}
+        """Language, confidence and segments of one text; None without words."""
+        return self.read_all([text])[0]
 
 
 def _fit(samples: list[tuple[list[str], int]], langs: list[str], seed: int, epochs: int = 2) -> LanguageModel:
@@ -343,7 +415,7 @@ def languages(df: DataFrame, key: str, column: str, time: str | None = None, lab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            out = [m.read(t) if t else None for t in b.column(1).to_pylist()]
+            out = m.read_all(b.column(1).to_pylist())
             pick = lambda c, kind: pa.array([None if o is None else o[c] for o in out], kind)  # noqa: E731, B023
             codes = pa.array([code(x) for x in b.column(3).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(

@@ -128,12 +128,15 @@ def _plain(text: str) -> tuple[str, list[int]]:
     """
     if text.isascii() or not _CHANGES.search(text):
         return text, []
-    r = _rewriter()
     out, back, at = [], [], 0
     for u in units(text):
-        v = r(u)
-        v = unicodedata.normalize("NFKC", v) if not v.isascii() else v
-        v = "".join(str(unicodedata.digit(c)) if c.isdigit() and not c.isascii() and unicodedata.digit(c, None) is not None else c for c in v)
+        v = _PLAIN.get(u)
+        if v is None:
+            v = _rewriter()(u)
+            v = unicodedata.normalize("NFKC", v) if not v.isascii() else v
+            v = "".join(str(unicodedata.digit(c)) if c.isdigit() and not c.isascii() and unicodedata.digit(c, None) is not None else c for c in v)
+            if len(_PLAIN) < 100_000:  # a memory, not a limit: a unit beyond it is rewritten again
+                _PLAIN[u] = v
         out.append(v)
         back.extend([at] * len(v))
         at += len(u)
@@ -141,6 +144,7 @@ def _plain(text: str) -> tuple[str, list[int]]:
     return "".join(out), back
 
 
+_PLAIN: dict[str, str] = {}
 _REWRITER: list[Rewriter] = []
 
 
