@@ -29,9 +29,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The array scaled to length one; null where it has no length."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    """The array scaled to length one; null where it has no length. The length is bound once, not for each element."""
+    return F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))[0]
 
 
 def hours_between(later: Column, earlier: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,26 +25,50 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def nearest_centroid(df: DataFrame, key: str, vector: str, cents: DataFrame, group: str, floor: float, margin: float, most: int = 10_000) -> DataFrame:
-    """Nearest centroid of each row; unmatched below ``floor`` or without a lead of ``margin`` over the second.
+    """Nearest centroid of each row; ``group`` is null below ``floor`` or without a lead of ``margin`` over the second.
 
-    Centroids are few and are counted before they are broadcast; more than
-    ``most`` are compared in blocks of that size, keeping the two best of each.
+    Centroids are counted, then compared in blocks of at most ``most``, each sent
+    to the tasks once: a row is read, multiplied with the block and leaves with its
+    two best, so nothing is shuffled. Only where there are several blocks are
+    these few rows for a key merged. Ties go to the smaller group. Without
+    centroids, and for null vectors, there is no row.
     """
+    kinds = dict(df.dtypes)
     blocks = max(1, -(-cents.count() // most))
+    label = cents.schema[group].dataType.simpleString()
+    two = f"`{key}` {kinds[key]}, g1 {label}, s1 double, s2 double"
     parts = None
     for i in range(blocks):
-        part = cents if blocks == 1 else cents.filter(F.pmod(F.xxhash64(group), F.lit(blocks)) == i)
-        scored = df.select(key, vector).crossJoin(F.broadcast(part)).select(key, F.struct(dot(F.col(vector), F.col("centroid")).alias("s"), (-F.col(group)).alias("g") if dict(cents.dtypes)[group] in ("int", "bigint") else F.col(group).alias("g")).alias("c"))
-        two = scored.groupBy(key).agg(F.max("c").alias("b1"), F.slice(F.sort_array(F.collect_list("c"), asc=False), 2, 1).alias("b2"))
-        parts = two if parts is None else parts.unionByName(two)
-    assert parts is not None
+        block = cents if blocks == 1 else cents.filter(F.pmod(F.xxhash64(group), F.lit(blocks)) == i)
+        t = block.select(group, F.col("centroid").cast("array<double>").alias("c")).toArrow().sort_by(group)
+        if not t.num_rows:
+            continue
+        names = t.column(0).combine_chunks()
+        shared = df.sparkSession.sparkContext.broadcast((names, np.stack(t.column(1).to_numpy())))
+        found = df.select(key, F.col(vector).cast("array<double>").alias("v")).filter("v is not null").mapInArrow(_best_two(shared, key), two)
+        parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        return df.sparkSession.createDataFrame([], f"`{key}` {kinds[key]}, `{group}` {label}, similarity double")
     if blocks > 1:
-        flat = parts.select(key, F.explode(F.concat(F.array("b1"), "b2")).alias("c"))
-        parts = flat.groupBy(key).agg(F.max("c").alias("b1"), F.slice(F.sort_array(F.collect_list("c"), asc=False), 2, 1).alias("b2"))
-    best, second = F.col("b1.s"), F.col("b2")[0]["s"]
-    ok = (best >= floor) & (F.size("b2") == 0) | (best >= floor) & (best - F.coalesce(second, F.lit(-1.0)) >= margin)
-    name = -F.col("b1.g") if dict(cents.dtypes)[group] in ("int", "bigint") else F.col("b1.g")
-    return parts.select(key, F.when(ok, name).alias(group), best.alias("similarity"))
+        first = F.min_by(F.struct("g1", "s1"), F.struct(-F.col("s1"), F.col("g1")))
+        scores = F.sort_array(F.flatten(F.collect_list(F.array("s1", "s2"))), asc=False)
+        parts = parts.groupBy(key).agg(first.alias("b"), scores.alias("s")).select(key, F.col("b.g1").alias("g1"), F.col("b.s1").alias("s1"), F.col("s")[1].alias("s2"))
+    ok = (F.col("s1") >= floor) & (F.col("s2").isNull() | (F.col("s1") - F.col("s2") >= margin))
+    return parts.select(key, F.when(ok, F.col("g1")).alias(group), F.col("s1").alias("similarity"))
+
+
+def _best_two(shared, key: str):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c = shared.value
+        for whole in batches:
+            for b in batches_of([whole], 2048):
+                s = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) @ c.T
+                best = s.argmax(1)
+                top = s[np.arange(len(s)), best]
+                second = np.partition(s, -2, 1)[:, -2] if s.shape[1] > 1 else np.full(len(s), np.nan)
+                yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(best)), pa.array(top), pa.array(second, mask=np.isnan(second))], names=[key, "g1", "s1", "s2"])
+
+    return run
 
 
 def pairs_above(df: DataFrame, key: str, vector: str, least: float, block: int = 2000) -> DataFrame:
@@ -125,7 +149,7 @@ def trigram_vectors(df: DataFrame, key: str, text: str, size: int = 384) -> Data
     return g.select(key, F.transform("v", lambda s: F.struct(s["bucket"].alias("bucket"), (s["x"] / F.col("len")).alias("weight"))).alias("vector"))
 
 
-def batches_of(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def batches_of(it: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Record batches cut to at most ``size`` rows, for scorers with a batch limit."""
     for b in it:
         for i in range(0, b.num_rows, size):

@@ -82,7 +82,7 @@ def channel_rank_top5_per_group(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH g AS (SELECT event_id, user_id, value, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'),
 m AS (SELECT g.event_id, v.value AS prior_value, row_number() OVER (PARTITION BY g.event_id ORDER BY v.ts DESC NULLS LAST, v.value DESC) AS rn FROM g LEFT JOIN v ON g.user_id = v.user_id AND v.ts <= g.ts - INTERVAL 1 HOUR)
 SELECT event_id, prior_value FROM m WHERE rn = 1""")
-def snapshot_asof_hour(spark: SparkSession, d: str) -> DataFrame:
+def prior_view_asof(spark: SparkSession, d: str) -> DataFrame:
     """Each purchase with the value of the same user's latest view an hour or more before."""
     e = table(spark, d, "events")
     left = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")

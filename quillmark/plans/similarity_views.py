@@ -35,13 +35,6 @@ def nearest_centroid_margin(spark: SparkSession, d: str) -> DataFrame:
     return nearest_centroid(e, "vec_id", "embedding", centroids(e, "label", "embedding"), "label", 0.2, 0.05).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""SELECT label, count(*) FILTER (vec_id % 2 = 0) AS previous, count(*) FILTER (vec_id % 2 = 1) AS current, count(*) FILTER (vec_id % 2 = 1) - count(*) FILTER (vec_id % 2 = 0) AS change FROM embeddings GROUP BY label""")
-def topic_growth(spark: SparkSession, d: str) -> DataFrame:
-    """Members of two windows for each topic and their change."""
-    odd = F.col("vec_id") % 2 == 1
-    return _e(spark, d).groupBy("label").agg(F.count_if(~odd).alias("previous"), F.count_if(odd).alias("current")).withColumn("change", F.col("current") - F.col("previous"))
-
-
 @query("""SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.3""")
 def similarity_pairs_threshold(spark: SparkSession, d: str) -> DataFrame:
     return pairs_above(_e(spark, d), "vec_id", "embedding", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
