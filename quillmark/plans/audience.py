@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions import text as T
 from quillmark.functions.math import half_up
 from quillmark.plans.base import POSTS, posts, query
 from quillmark.sources.tables import table
@@ -28,14 +27,9 @@ def _audience(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_acctbal", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
 
 
-@query(_SEG.format(3))
-def segment_rollup_k3(spark: SparkSession, d: str) -> DataFrame:
-    return segments(_audience(spark, d), ["segment", "nation"], "c_acctbal", 3)
-
-
 @query(_SEG.format(60))
-def estimate_rollup_suppressed(spark: SparkSession, d: str) -> DataFrame:
-    """The same rollup with a threshold that hides some groups."""
+def audience_share_k60(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of each dimension with sixty members or more; percents are of all rows."""
     return segments(_audience(spark, d), ["segment", "nation"], "c_acctbal", 60)
 
 
@@ -47,33 +41,32 @@ def demographic_suppression(spark: SparkSession, d: str) -> DataFrame:
     return g.select("dimension", F.col("n_name").alias("label"), F.when(F.col("n") >= 10, half_up(F.col("n") * 100.0 / F.col("total"), 2)).alias("percent"), (F.col("n") < 10).alias("suppressed"))
 
 
-def escalation_reasons(p: DataFrame) -> Column:
-    """Why a first-pass label is passed on to the slower tier."""
-    rules = {
-        "low_model_confidence": F.col("sentiment_confidence") < 0.6,
-        "non_english": F.coalesce("primary_lang", F.lit("und")) != "en",
-        "question": F.coalesce(F.col("original_text").contains("?"), F.lit(False)),
-        "risk_signals": F.coalesce("has_risk", F.lit(False)),
-    }
-    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
-
-
-@query(f"""WITH {POSTS}, r AS (SELECT unnest([CASE WHEN sentiment_confidence < 0.6 THEN 'low_model_confidence' END, CASE WHEN coalesce(primary_lang, 'und') <> 'en' THEN 'non_english' END, CASE WHEN contains(original_text, '?') THEN 'question' END, CASE WHEN has_risk THEN 'risk_signals' END]) AS reason FROM p) SELECT reason, count(*) AS posts FROM r WHERE reason IS NOT NULL GROUP BY reason""")
-def escalation_report(spark: SparkSession, d: str) -> DataFrame:
-    p = posts(spark, d)
-    return p.select(F.explode(escalation_reasons(p)).alias("reason")).groupBy("reason").agg(F.count("*").alias("posts"))
-
-
 def verdict(score: Column, english: Column, threat: Column) -> Column:
     """Verdict ladder of a moderation score; a threat lifts it to severe."""
     s = F.when(threat, F.greatest(score, F.lit(0.85))).otherwise(score)
     return F.when(s.isNull(), "unavailable").when(s >= 0.85, "severe").when(~english & (s >= 0.25) & (s < 0.4), "unsure").when(s < 0.4, "clean").otherwise("rude")
 
 
-@query(f"""WITH {POSTS}, s AS (SELECT post_id, CASE WHEN event_severity >= 0.95 AND aggression_score IS NOT NULL THEN greatest(aggression_score, 0.85) ELSE aggression_score END AS s, coalesce(primary_lang, 'und') = 'en' AS english FROM p)
-SELECT post_id, CASE WHEN s IS NULL THEN 'unavailable' WHEN s >= 0.85 THEN 'severe' WHEN NOT english AND s >= 0.25 AND s < 0.4 THEN 'unsure' WHEN s < 0.4 THEN 'clean' ELSE 'rude' END AS verdict FROM s""")
+def _re(pattern: str) -> str:
+    """The same test in SQL; quotes doubled."""
+    return "regexp_matches(t, '(?i)" + pattern.replace("'", "''") + "')"
+
+
+_HINT = f"""h AS (SELECT post_id, english, s, t, CASE WHEN ({_re(T.THREAT_DIRECT)} OR {_re(T.THREAT_SHORT)} OR {_re(T.THREAT_INDIC)}) AND NOT ({_re(T.THREAT_QUOTED)} OR {_re(T.THREAT_NEGATED)}) THEN 'threat' WHEN {_re(T.CHECK_WORDS[0])} OR {_re(T.CHECK_WORDS[1])} THEN 'check' END AS hint FROM (
+SELECT post_id, coalesce(primary_lang, 'und') = 'en' AS english, aggression_score AS s, regexp_replace(regexp_replace(original_text, '[\u2019\u2018]', chr(39), 'g'), '[\u200b-\u200d\ufeff]', '', 'g') AS t FROM p))"""
+
+
+@query(f"WITH {POSTS}, {_HINT} SELECT post_id, hint FROM h WHERE hint IS NOT NULL")
+def threat_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Posts that read as a threat, or as hostile."""
+    return posts(spark, d).select("post_id", T.threat_hint(F.col("original_text")).alias("hint")).filter("hint is not null")
+
+
+@query(f"""WITH {POSTS}, {_HINT}, v AS (SELECT post_id, english, CASE WHEN hint = 'threat' THEN greatest(s, 0.85) ELSE s END AS s FROM h)
+SELECT post_id, CASE WHEN s IS NULL THEN 'unavailable' WHEN s >= 0.85 THEN 'severe' WHEN NOT english AND s >= 0.25 AND s < 0.4 THEN 'unsure' WHEN s < 0.4 THEN 'clean' ELSE 'rude' END AS verdict FROM v""")
 def moderation_verdict(spark: SparkSession, d: str) -> DataFrame:
-    threat = F.coalesce((F.col("event_severity") >= 0.95) & F.col("aggression_score").isNotNull(), F.lit(False))
+    """Verdicts of the score, lifted to severe by a threat in the text; no score, no verdict."""
+    threat = F.coalesce(F.col("aggression_score").isNotNull() & (T.threat_hint(F.col("original_text")) == "threat"), F.lit(False))
     return posts(spark, d).select("post_id", verdict(F.col("aggression_score"), F.coalesce("primary_lang", F.lit("und")) == "en", threat).alias("verdict"))
 
 
@@ -89,9 +82,11 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 SELECT class, round(coalesce(tp / nullif(CAST(said_n AS DOUBLE), 0), 0), 6) AS "precision", round(coalesce(tp / nullif(CAST(true_n AS DOUBLE), 0), 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(said_n + true_n, 0), 0), 6) AS f1 FROM c""")
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall and F1 of each class from one confusion matrix."""
-    m = _judged(spark, d).groupBy("said", "truth").agg(F.count("*").alias("n"))
-    per = lambda k: m.agg(F.lit(k).alias("class"), F.coalesce(F.sum(F.when((F.col("said") == k) & (F.col("truth") == k), F.col("n"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(F.col("said") == k, F.col("n"))), F.lit(0)).alias("s"), F.coalesce(F.sum(F.when(F.col("truth") == k, F.col("n"))), F.lit(0)).alias("t"))
-    c = reduce(DataFrame.unionByName, [per(k) for k in ("positive", "neutral", "negative")])
+    hit = F.col("said") == F.col("truth")
+    sides = F.array(F.struct(F.col("said").alias("class"), hit.cast("int").alias("tp"), F.lit(1).alias("s"), F.lit(0).alias("t")), F.struct(F.col("truth").alias("class"), F.lit(0).alias("tp"), F.lit(0).alias("s"), F.lit(1).alias("t")))
+    n = _judged(spark, d).select(F.explode(sides).alias("x")).groupBy("x.class").agg(*[F.sum(f"x.{k}").alias(k) for k in ("tp", "s", "t")])
+    classes = spark.createDataFrame([("positive",), ("neutral",), ("negative",)], "class string")
+    c = classes.join(n, "class", "left").fillna(0, ["tp", "s", "t"])
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
     return c.select("class", ratio(F.col("tp"), F.col("s")).alias("precision"), ratio(F.col("tp"), F.col("t")).alias("recall"), ratio(2 * F.col("tp"), F.col("s") + F.col("t")).alias("f1"))
 

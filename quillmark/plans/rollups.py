@@ -122,28 +122,48 @@ def timeline_daily_utc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count("value").alias("scored"), F.round(F.avg("value"), 6).alias("mean_value"), count_if(F.col("event_type") == "error").alias("errors"))
 
 
-def activity(df: DataFrame, time: str) -> DataFrame:
+def activity(df: DataFrame, time: str, value: str, topic: str) -> DataFrame:
     """Hourly buckets if the rows span less than 48 hours, else daily ones, at UTC+5:30.
 
-    The span is one small aggregate, joined to the rows by a broadcast of one row.
+    ``granularity``, ``at`` (UTC start of an hour, or the day), ``label``, ``n``,
+    ``scored``, ``score`` (mean of known values), ``topics`` (``name=count`` in order
+    of name). Rows without a time are left out. The span is one small aggregate,
+    joined by a broadcast of one row; topics are counted before they are listed.
     """
-    span = df.agg((F.max(F.unix_micros(F.col(time).cast("timestamp"))) - F.min(F.unix_micros(F.col(time).cast("timestamp")))).alias("span"))
+    at = F.col(time).cast("timestamp")
+    span = df.agg((F.max(F.unix_micros(at)) - F.min(F.unix_micros(at))).alias("span"))
     local = ist(F.col(time))
-    bucket = F.when(F.col("span") < 48 * 3_600_000_000, F.date_format(local, "yyyy-MM-dd HH:00")).otherwise(F.date_format(local, "yyyy-MM-dd"))
-    return df.crossJoin(F.broadcast(span)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    hourly = F.col("span") < 48 * 3_600_000_000
+    start = F.when(hourly, F.date_trunc("hour", local)).otherwise(F.date_trunc("day", local))
+    rows = df.filter(F.col(time).isNotNull()).crossJoin(F.broadcast(span)).select(hourly.alias("hourly"), start.alias("start"), F.col(value).alias("x"), F.col(topic).alias("topic"))
+    per = rows.groupBy("hourly", "start", "topic").agg(F.count("*").alias("n"), F.count("x").alias("scored"), F.sum("x").alias("total"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("topic").isNotNull(), F.concat("topic", F.lit("="), F.col("n").cast("string")))))
+    b = per.groupBy("hourly", "start").agg(F.sum("n").alias("n"), F.sum("scored").alias("scored"), F.sum("total").alias("total"), F.array_join(listed, " ").alias("topics"))
+    utc = F.date_format(F.col("start") - F.expr("INTERVAL 330 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    day = F.date_format("start", "yyyy-MM-dd")
+    return b.select(
+        F.when(F.col("hourly"), "hour").otherwise("day").alias("granularity"), F.when(F.col("hourly"), utc).otherwise(day).alias("at"), F.when(F.col("hourly"), F.date_format("start", "dd/MM HH:00")).otherwise(day).alias("label"),
+        "n", "scored", F.try_divide(F.col("total"), F.col("scored").cast("double")).alias("score"), "topics",
+    )
+
+
+_ACTIVITY = """WITH e AS (SELECT * FROM events WHERE {0}), s AS (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM e), b AS (SELECT span < 172800000000 AS hourly, CASE WHEN span < 172800000000 THEN date_trunc('hour', ts + INTERVAL 330 MINUTE) ELSE CAST(CAST(ts + INTERVAL 330 MINUTE AS DATE) AS TIMESTAMP) END AS start, value, event_type FROM e, s),
+t AS (SELECT hourly, start, event_type, count(*) AS n, count(value) AS scored, sum(value) AS total FROM b GROUP BY ALL)
+SELECT CASE WHEN hourly THEN 'hour' ELSE 'day' END AS granularity, CASE WHEN hourly THEN strftime(start - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(start, '%Y-%m-%d') END AS "at", CASE WHEN hourly THEN strftime(start, '%d/%m %H:00') ELSE strftime(start, '%Y-%m-%d') END AS label, CAST(sum(n) AS BIGINT) AS n, CAST(sum(scored) AS BIGINT) AS scored, round(sum(total) / sum(scored), 6) AS score, string_agg(event_type || '=' || n, ' ' ORDER BY event_type) AS topics FROM t GROUP BY hourly, start"""
 
 
-_ACTIVITY = "WITH e AS (SELECT * FROM events WHERE {0}), s AS (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM e) SELECT CASE WHEN span < 172800000000 THEN strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:00') ELSE strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') END AS bucket, count(*) AS n, round(avg(value), 6) AS mean_value FROM e, s GROUP BY 1"
+def _activity(df: DataFrame) -> DataFrame:
+    return activity(df, "ts", "value", "event_type").withColumn("score", F.round("score", 6))
 
 
 @query(_ACTIVITY.format("ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'"))
 def activity_hourly(spark: SparkSession, d: str) -> DataFrame:
-    return activity(scope(table(spark, d, "events"), "ts", "2024-01-10", "2024-01-10"), "ts")
+    return _activity(scope(table(spark, d, "events"), "ts", "2024-01-10", "2024-01-10"))
 
 
 @query(_ACTIVITY.format("true"))
 def activity_daily(spark: SparkSession, d: str) -> DataFrame:
-    return activity(table(spark, d, "events"), "ts")
+    return _activity(table(spark, d, "events"))
 
 
 @query("""WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT count(*) AS commenters, count(*) FILTER (n = 1) AS one_time, count(*) FILTER (n > 1) AS repeat, CAST(sum(n) AS BIGINT) AS rows FROM u""")

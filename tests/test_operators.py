@@ -5,12 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators.components import connected_components
+from quillmark.operators.gazetteer import entities
 from quillmark.operators.latest import latest_by
 from quillmark.operators.merge import last_write_wins, newest, reuse
-from quillmark.operators.similarity import communities, pairs_above
+from quillmark.operators.similarity import communities, nearest_centroid, pairs_above
 from quillmark.operators.timeseries import as_of, trailing_count, view_rate
 from quillmark.plans.audience import segments
+from quillmark.plans.decision_views import estimate_groups, estimate_totals, segment_groups, segment_totals
 from quillmark.plans.graph import reply_edges_of
+from quillmark.plans.growth_views import comparable, pick_channels
 from quillmark.plans.rollups import activity, scope
 from quillmark.streaming.jobs import REVIEW_SECONDS, review_step
 
@@ -84,9 +87,12 @@ def test_scope(spark):
 
 
 def test_activity(spark):
-    rows = [(datetime(2026, 9, 23, 10, 10), 0.5), (datetime(2026, 9, 23, 10, 10), -0.5), (datetime(2026, 9, 23, 12, 10), None)]
-    got = {r.bucket: (r.n, r.mean_value) for r in activity(spark.createDataFrame(rows, "t timestamp, value double"), "t").collect()}
-    assert got == {"2026-09-23 15:00": (2, 0.0), "2026-09-23 17:00": (1, None)}
+    rows = [(datetime(2026, 9, 23, 10, 10), 0.5, "manual:0"), (datetime(2026, 9, 23, 10, 10), -0.5, "manual:1"), (datetime(2026, 9, 23, 12, 10), None, "manual:0")]
+    df = spark.createDataFrame(rows, "t timestamp, value double, topic string")
+    got = [(r.granularity, r.at, r.label, r.n, r.scored, r.score, r.topics) for r in sorted(activity(df, "t", "value", "topic").collect(), key=lambda r: r.at)]
+    assert got == [("hour", "2026-09-23T09:30:00Z", "23/09 15:00", 2, 2, 0.0, "manual:0=1 manual:1=1"), ("hour", "2026-09-23T11:30:00Z", "23/09 17:00", 1, 0, None, "manual:0=1")]
+    later = df.unionByName(spark.createDataFrame([(datetime(2026, 9, 28, 10), 0.1, None)], df.schema))
+    assert {r.granularity for r in activity(later, "t", "value", "topic").collect()} == {"day"} and activity(df.limit(0), "t", "value", "topic").count() == 0
 
 
 def test_segments(spark):
@@ -95,6 +101,51 @@ def test_segments(spark):
     assert [(r.value, r.n, r.percent, round(r["mean"], 2)) for r in got] == [("student", 3, 75.0, 0.73)]
 
 
+def test_suppressed_segments_and_estimates(spark):
+    rows = [("student", 0.8), ("student", 0.8), ("student", 0.6), ("parent_family", 0.8), ("unstated", None), (None, None)]
+    df = spark.createDataFrame(rows, "s string, c double")
+    assert [tuple(r) for r in segment_groups(df, "s", "c").collect()] == [("student", 3, 75.0, 0.73, 1)]
+    assert segment_totals(df, "s").first().asDict() == {"estimated": 5, "pending": 1, "classified": 4, "unstated": 1, "hidden_groups": 1}
+    assert segment_groups(df.limit(0), "s", "c").count() == 0 and segment_totals(df.limit(0), "s").first().estimated == 0
+    rows = [(True, "18-24", "male", "Karnataka", 0.5, False), (True, "18-24", "male", "Karnataka", 0.7, False), (True, "25-34", None, None, None, True), (False, None, None, None, None, False)]
+    df = spark.createDataFrame(rows, "known boolean, age string, gender string, state string, confidence double, stale boolean")
+    dims = ["age", "gender", "state"]
+    got = {(r.dimension, r.value): (r.n, r.percent) for r in estimate_groups(df, dims, "known").collect()}
+    assert got == {("age", "18-24"): (2, 66.7), ("gender", "male"): (2, 100.0), ("state", "Karnataka"): (2, 100.0)}
+    totals = {r.dimension: (r.total, r.unclear, r.hidden, r.estimated, r.pending, r.stale, r.confidence) for r in estimate_totals(df, dims, "known", "stale", "confidence").collect()}
+    assert totals == {"age": (3, 0, 1, 3, 2, 1, 0.6), "gender": (2, 1, 0, 3, 2, 1, 0.6), "state": (2, 1, 0, 3, 2, 1, 0.6)}
+
+
+def test_comparable_snapshots(spark):
+    day = datetime(2026, 9, 23)
+    rows = [("old", "k", ["b", "a"], day - timedelta(days=2)), ("before", "k", ["a", "b"], day - timedelta(hours=23, minutes=30)), ("late", "k", ["a", "b"], day - timedelta(hours=22)), ("after", "k", ["b", "a"], day + timedelta(minutes=59)), ("now", "k", ["a", "b"], day + timedelta(hours=5)), ("other", "k", ["a"], day + timedelta(hours=6))]
+    got = {r.run_id: (r.before, r.after, r.status) for r in comparable(spark.createDataFrame(rows, "run_id string, source_key string, video_ids array<string>, completed_at timestamp")).collect()}
+    assert got["now"] == ("before", "after", "measured_sample")
+    assert got["other"] == (None, None, "insufficient_history")
+
+
+def test_nearest_centroid_blocks(spark):
+    rng = random.Random(3)
+    cents = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(23)], "g int, centroid array<double>")
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(99, None)], "id int, v array<double>")
+    one = {r.id: (r.g, round(r.similarity, 9)) for r in nearest_centroid(df, "id", "v", cents, "g", 0.5, 0.2).collect()}
+    many = {r.id: (r.g, round(r.similarity, 9)) for r in nearest_centroid(df, "id", "v", cents, "g", 0.5, 0.2, most=5).collect()}
+    assert one == many and len(one) == 40 and {None} < {g for g, _ in one.values()}
+    assert nearest_centroid(df, "id", "v", cents.limit(0), "g", 0.5, 0.2).count() == 0
+
+
+def test_channels_of_two_groups(spark):
+    rows = [("a", "x", 9.0), ("a", "y", 8.0), ("a", "z", 7.0), ("b", "x", 5.0), ("b", "w", 4.0)]
+    got = [(r.source_group, r.channel_id, r.place) for r in pick_channels(spark.createDataFrame(rows, "source_group string, channel_id string, score double"), ["a", "b"], 2).collect()]
+    assert sorted(got) == [("a", "x", 1), ("a", "y", 2), ("b", "w", 1)]
+
+
+def test_entities(spark):
+    df = spark.createDataFrame([("Chennai and chennai, Tamil Nadu; not Chennaiyin. CERT-In",), (None,), ("",)], "t string")
+    got = [None if r.e is None else [(x.label, x.text) for x in r.e] for r in df.select(entities(F.col("t")).alias("e")).collect()]
+    assert got == [[("GPE", "Chennai"), ("GPE", "chennai"), ("GPE", "Tamil Nadu"), ("ORG", "CERT-In")], None, []]
+
+
 def test_pairs_and_communities(spark):
     rng = random.Random(4)
     rows = [(i, "g", [rng.gauss(0, 1) for _ in range(6)]) for i in range(90)]
