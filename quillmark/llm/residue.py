@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,8 +260,17 @@ PLACEHOLDERS = [
     r"(?i:\b(?:hello|hi|dear|by|in|for|at|from|on|to|of|regards,?|and|ward|date|name)[ ,:]+)(?:undefined|NaN|null)(?=[\s,.;!?/]|$)",
     r"(?<!\w)(?:undefined|null|NaN) (?:wrote|said|posted|starts|is|was|has|reported)\b",
 ]
-PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
-PIECE = re.compile(r"[^.!?\n।:;|]+[.!?\n।:;|]*")
+_UNSET = re.compile("undefined|null|nan", re.I)
+_BY_SIGN, _BY_WORD = (re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS if bool(_UNSET.search(p)) is unset)) for unset in (False, True))
+PIECE_END = re.compile(r"[.!?\n।:;|]+")
+_TOKEN = re.compile(r"[^\W_]+")
+def placeholder(text: str) -> bool:
+    """Whether a substitution was left open; the patterns are only tried where a sign or word of theirs occurs."""
+    signs = any(x in text for x in "{<[%") or "__" in text or "@@" in text
+    unset = any(x in text for x in ("undefined", "null", "NaN")) or "/" in text and "nan" in text
+    return signs and _BY_SIGN.search(text) is not None or unset and _BY_WORD.search(text) is not None
+
+
 _NUMBERS = re.compile(r"\d+")
 _SPACE = re.compile(r"[\W_]+")
 N = 4
@@ -319,35 +329,39 @@ def count_grams(texts: Iterable[str]) -> Counter[str]:
     return total
 
 
-def prose_counts(df: DataFrame, column: str, most: int = 200_000) -> Counter[str]:
+def prose_counts(df: DataFrame, column: str, most: int = 2_000_000) -> Counter[str]:
     """Character n-grams of the corpus, counted over all documents.
 
     Every task counts its documents and drops nothing; the sums are reduced by
     key. A document weighs as the square of its words, up to ``FULL`` of them: a
-    page of a few words says little about prose, however often it was crawled. The model keeps the ``most`` frequent n-grams, which bounds what reaches
-    the driver whatever the size of the corpus.
+    page of a few words says little about prose, however often it was crawled. The
+    n-grams lie within words and have four signs at most, so their number is that
+    of the scripts' syllables; more than ``most`` of them are refused, none is left out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("g", pa.string()), ("n", pa.float64())])
-        total: dict[str, float] = {}
+        distinct: dict[str, float] = {}
         for b in batches:
-            distinct: dict[str, float] = {}
             for t in b.column(0).to_pylist():
                 if t:
                     own = normal(t).split()
                     weight = min(1.0, len(own) / FULL) ** 2
-                    for w in own:
-                        distinct[w] = distinct.get(w, 0.0) + weight
-            for w, c in distinct.items():  # grams within a word and its borders, once for each distinct word
-                for g in grams(f" {w} "):
-                    total[g] = total.get(g, 0.0) + c
+                    for w, c in Counter(own).items():
+                        distinct[w] = distinct.get(w, 0.0) + c * weight
+        total: dict[str, float] = {}
+        for w, c in distinct.items():  # grams within a word and its borders, once for each distinct word
+            for g in grams(f" {w} "):
+                total[g] = total.get(g, 0.0) + c
         if total:
             yield pa.RecordBatch.from_pydict({"g": list(total), "n": list(total.values())}, schema=schema)
 
     ship_package(df.sparkSession)
     rows = df.select(column).mapInArrow(count, "g string, n double").groupBy("g").agg(F.round(F.sum("n"), 3).alias("n"))
-    return Counter({r.g: r.n for r in rows.orderBy(F.desc("n"), "g").limit(most).collect()})
+    found = rows.limit(most + 1).toArrow()
+    if found.num_rows > most:
+        raise ValueError(f"more than {most} character n-grams; raise the limit if the driver and the tasks have the memory")
+    return Counter(dict(sorted(zip(found.column("g").to_pylist(), found.column("n").to_pylist()))))
 
 
 class ResidueModel:
@@ -361,10 +375,16 @@ class ResidueModel:
         self.strange = -2.8
         self.ratios: dict[str, tuple[float, float]] = {}
         # A seed line whose words all occur is a phrase of that class.
-        self.phrases = [(kind, [normal(x).split() for x in seeds.strip().split("\n")]) for kind, seeds in (("filler", FILLER), ("notice", NOTICES))]
-        self.pairs: dict[str, set[tuple[str, str]]] = {}
-        for kind, lines in self.phrases:
-            self.pairs[kind] = {p for w in lines for p in zip(["^", *w], [*w, "$"])}
+        lines = {kind: [normal(x).split() for x in seeds.strip().split("\n")] for kind, seeds in (("filler", FILLER), ("notice", NOTICES))}
+        # Words of the seeds by number; 0 is any other word, 1 and 2 the ends of a piece.
+        self.seed = {w: i for i, w in enumerate(sorted({w for ws in lines.values() for line in ws for w in line}), 3)}
+        self.pairs = {}
+        for kind, ws in lines.items():
+            known = np.zeros((len(self.seed) + 3,) * 2, bool)
+            for line in ws:
+                ids = [1, *(self.seed[w] for w in line), 2]
+                known[ids[:-1], ids[1:]] = True
+            self.pairs[kind] = known
 
     def word(self, w: str) -> tuple[float, float]:
         """Log-likelihood ratios (bits a character) of a word: filler to prose, notice to prose."""
@@ -379,32 +399,102 @@ class ResidueModel:
                 self.ratios[w] = got
         return got
 
-    def piece(self, words: list[str]) -> tuple[float, float]:
-        """Score of a window of words for (filler, notice): mean word ratio, and share of word pairs of a seed."""
-        words = [w for w in words if w != "0"]  # numbers say nothing
-        if not words:
-            return 0.0, 0.0
-        if len(words) >= 3 and len(set(words)) == 1:  # one word again and again
-            return 2 * self.least, 0.0
-        ratio = [self.word(w) for w in words]
-        size = [len(w) + 1 for w in words]
-        scores = []
-        pairs = list(zip(["^", *words], [*words, "$"]))
+    def score_all(self, texts: list[str]) -> list[dict[str, float | bool]]:
+        """Coverage of texts by filler and by notices, and whether a placeholder is there.
+
+        Every distinct word is scored once; the pieces of all texts are scored together.
+        """
+        number: dict[str, int] = {}
+        pieces: list[list[int]] = []
+        owner: list[int] = []
+        for i, text in enumerate(texts):
+            for part in PIECE_END.split(_NUMBERS.sub("0", text.lower())):
+                words = _TOKEN.findall(part)
+                if words:
+                    pieces.append([number.setdefault(w, len(number)) for w in words])
+                    owner.append(i)
+        names = list(number)
+        letters = np.array([0 if "0" in w else len(w) for w in names], np.int64)  # numbers and reference codes say nothing
+        blank = number.get("0", -1)
+        ratio = np.array([(0.0, 0.0) if w == "0" else self.word(w) for w in names]).reshape(-1, 2)
+        size = np.array([0 if w == "0" else len(w) + 1 for w in names], np.float64)
+        seed = np.array([self.seed.get(w, 0) for w in names], np.int64)
+        covered = {kind: np.zeros(len(texts)) for kind in ("filler", "notice")}
+        total, run_letters = np.zeros(len(texts)), np.zeros(len(texts))
+        own = np.array(owner, np.int64)
+        if pieces:
+            flat = np.fromiter((w for p in pieces for w in p), np.int64)
+            length = np.array([len(p) for p in pieces])
+            start = np.concatenate([[0], np.cumsum(length)[:-1]])
+            n = np.add.reduceat(letters[flat], start)
+            filler, notice, best = self._scores(flat, start, length, blank, ratio, size, seed)
+            live = n > 0
+            np.add.at(total, own[live], n[live])
+            is_filler = filler >= notice
+            hit = live & (np.maximum(filler, notice) >= self.least)
+            for kind, of in (("filler", hit & is_filler), ("notice", hit & ~is_filler)):
+                np.add.at(covered[kind], own[of], n[of])
+            whole = hit & is_filler & (length > 1)
+            np.add.at(run_letters, own[whole], n[whole])
+            # A window of filler needs a word of such a ratio, or a run of seed pairs.
+            high = np.maximum.reduceat(ratio[flat, 0], start) >= 0.6
+            for k in np.flatnonzero(live & ~hit & (length > 5) & (high | (best >= 4))):
+                part = self.window([names[w] for w in pieces[k]], int(best[k]))
+                covered["filler"][own[k]] += part
+                run_letters[own[k]] += part
+        total = np.maximum(1, total)
+        return [
+            {"filler_share": float(covered["filler"][i] / total[i]), "notice_share": float(covered["notice"][i] / total[i]), "filler_chars": int(run_letters[i]), "placeholder": placeholder(t)}
+            for i, t in enumerate(texts)
+        ]
+
+    def _scores(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray, blank: int, ratio: np.ndarray, size: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every piece the score for filler and for notices, and its longest run of word pairs of filler.
+
+        A score is the mean word ratio, raised by the share of word pairs that stand
+        in a seed of that class.
+        """
+        kept = flat != blank
+        count = np.add.reduceat(kept.astype(np.int64), start)
+        weight = np.add.reduceat(size[flat], start)
+        piece = np.repeat(np.arange(len(start)), length)
+        words, of = flat[kept], piece[kept]
+        first = np.searchsorted(of, np.arange(len(start)))
+        some = count > 0
+        # Ends of the pieces are set between their words: ^ a b $
+        ids = np.full(len(words) + 2 * int(some.sum()), 0, np.int64)
+        shift = np.cumsum(some)[of]  # pieces up to this one
+        at = np.arange(len(words)) + 2 * shift - 1
+        ids[at] = seed[words]
+        opens = (first + 2 * (np.cumsum(some) - 1))[some]
+        ids[opens] = 1
+        ids[opens + count[some] + 1] = 2
+        out = []
+        same = np.zeros(len(start), bool)
+        if len(words):
+            low, high = (f.reduceat(words, np.minimum(first, len(words) - 1)) for f in (np.minimum, np.maximum))
+            same = some & (count >= 3) & (low == high)
         for k, kind in enumerate(("filler", "notice")):
-            mean = sum(r[k] * s for r, s in zip(ratio, size)) / sum(size)
-            share = sum(p in self.pairs[kind] for p in pairs) / len(pairs)
-            known = self.least if share >= 0.8 and len(words) > 2 else mean  # word for word a seed
-            scores.append(max(mean + 0.3, mean + 4 * share - 1.5, known))
-        return scores[0], scores[1]
-
-    def window(self, words: list[str]) -> int:
-        """Letters of the best window of filler inside a piece that is not filler as a whole."""
-        run = best = 0
-        for p in zip(words, words[1:]):  # a run of word pairs as in a seed
-            run = run + 1 if p in self.pairs["filler"] else 0
-            best = max(best, run)
-        if best >= 4:
-            return 4 * best
+            mean = np.add.reduceat(ratio[flat, k] * size[flat], start) / np.maximum(weight, 1)
+            pair = np.append(self.pairs[kind][ids[:-1], ids[1:]], False)
+            share = np.zeros(len(start))
+            if len(opens):
+                sums = np.concatenate([[0], np.cumsum(pair)])
+                share[some] = (sums[opens + count[some] + 1] - sums[opens]) / (count[some] + 1)
+            known = np.where((share >= 0.8) & (count > 2), self.least, mean)  # word for word a seed
+            score = np.maximum(np.maximum(mean + 0.3, mean + 4 * share - 1.5), known)
+            out.append(np.where(some, np.where(same, 2 * self.least if k == 0 else 0.0, score), 0.0))
+        # Runs of pairs between the words of a piece, numbers included.
+        inner = np.append(self.pairs["filler"][seed[flat[:-1]], seed[flat[1:]]], False)
+        inner[start[1:] - 1] = False
+        reset = np.maximum.accumulate(np.where(inner, 0, np.arange(1, len(flat) + 1)))
+        runs = np.arange(1, len(flat) + 1) - reset
+        return out[0], out[1], np.maximum.reduceat(runs, start)
+
+    def window(self, words: list[str], run: int) -> int:
+        """Letters of the best window of filler inside a piece that is not filler as a whole; ``run`` word pairs of it stand in a row in a seed."""
+        if run >= 4:
+            return 4 * run
         ratio = [self.word(w)[0] for w in words]
         total = letters = start = 0.0
         found = 0
@@ -418,27 +508,8 @@ class ResidueModel:
         return found
 
     def score(self, text: str) -> dict[str, float | bool]:
-        """Coverage of the text by filler and by notices, and whether a placeholder is there."""
-        covered = {"filler": 0, "notice": 0}
-        total, letters = 0, 0
-        for m in PIECE.finditer(text):
-            words = normal(m.group()).split()
-            n = sum(len(w) for w in words if "0" not in w)  # numbers and reference codes say nothing
-            if not n:
-                continue
-            total += n
-            filler, notice = self.piece(words)
-            if max(filler, notice) >= self.least:
-                kind = "filler" if filler >= notice else "notice"
-                covered[kind] += n
-                if kind == "filler" and len(words) > 1:
-                    letters += n
-            elif len(words) > 5:
-                part = self.window(words)
-                covered["filler"] += part
-                letters += part
-        total = max(1, total)
-        return {"filler_share": covered["filler"] / total, "notice_share": covered["notice"] / total, "filler_chars": letters, "placeholder": bool(PLACEHOLDER.search(text))}
+        """The same for one text."""
+        return self.score_all([text])[0]
 
 
 def residue(df: DataFrame, key: str = "doc_id", column: str = "text", *, least_ratio: float = 0.9, notice_cover: float = 0.6, filler_chars: int = 8) -> DataFrame:
@@ -455,7 +526,7 @@ def residue(df: DataFrame, key: str = "doc_id", column: str = "text", *, least_r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ResidueModel(prose, least_ratio)
         for b in batches:
-            out = [model.score(t or "") for t in b.column(1).to_pylist()]
+            out = model.score_all([t or "" for t in b.column(1).to_pylist()])
             bad = [s["placeholder"] or s["filler_chars"] >= filler_chars or s["notice_share"] >= notice_cover for s in out]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array([s[c] for s in out], pa.float64()) for c in ("filler_share", "notice_share")), pa.array([s["placeholder"] for s in out], pa.bool_()), pa.array(bad, pa.bool_())],
