@@ -73,15 +73,6 @@ def severity_histogram(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).groupBy(F.coalesce("event_severity", F.lit(0.0)).alias("severity"), F.coalesce("event_polarity", F.lit("none")).alias("polarity")).agg(F.count("*").alias("posts"))
 
 
-@query(f"""WITH {POSTS}, {DETAILS} SELECT a.topic, count(*) AS posts, count(*) FILTER (p.has_risk) AS abusive, round(sum(coalesce(p.sentiment_score, 0)) / count(*), 6) AS mean_score, round(avg(p.sentiment_score), 6) AS mean_scored
-FROM a LEFT JOIN p USING (post_id) WHERE a.topic IS NOT NULL AND a.topic_source IN ('BERTopic', 'Embedding clusters') GROUP BY a.topic""")
-def topic_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Posts, abusive posts and mean score of each topic; null scores count as 0 in ``mean_score``."""
-    a = details(spark, d).filter(F.col("topic").isNotNull() & F.col("topic_source").isin("BERTopic", "Embedding clusters")).select("post_id", "topic")
-    j = a.join(posts(spark, d).select("post_id", "has_risk", "sentiment_score"), "post_id", "left")
-    return j.groupBy("topic").agg(F.count("*").alias("posts"), count_if("has_risk").alias("abusive"), F.round(F.sum(F.coalesce("sentiment_score", F.lit(0.0))) / F.count("*"), 6).alias("mean_score"), F.round(F.avg("sentiment_score"), 6).alias("mean_scored"))
-
-
 @query(f"""WITH {DETAILS}, r AS (SELECT topic, source_url, row_number() OVER (PARTITION BY topic ORDER BY epoch_us(created_at) NULLS LAST, post_id) AS rn FROM a WHERE topic IS NOT NULL AND source_url IS NOT NULL)
 SELECT topic, string_agg(source_url, ' ' ORDER BY rn) AS evidence FROM r WHERE rn <= 3 GROUP BY topic""")
 def topic_evidence_first3(spark: SparkSession, d: str) -> DataFrame:
@@ -104,19 +95,6 @@ def author_top5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).orderBy(F.desc("total"), "user_id").limit(5)
 
 
-@query("""SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS bucket, count(*) AS n FROM events GROUP BY 1""")
-def emotion_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """Histogram of a value inside a JSON column."""
-    return table(spark, d, "events").groupBy((F.get_json_object("props", "$.k").cast("bigint") % 10).alias("bucket")).agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {POSTS}, {DETAILS} SELECT count(*) AS records, count(*) FILTER (a.metadata.content_kind IS DISTINCT FROM 'video') AS comments, count(*) FILTER (p.post_id IS NOT NULL) AS scored, count(*) FILTER (a.topic IS NULL) AS without_topic, count(*) FILTER (p.has_risk) AS risky FROM a LEFT JOIN p USING (post_id)""")
-def coverage_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of the stages; a null kind counts as a comment."""
-    j = details(spark, d).join(posts(spark, d).select("post_id", F.lit(True).alias("found"), "has_risk"), "post_id", "left")
-    return j.agg(F.count("*").alias("records"), count_if(~F.col("metadata.content_kind").eqNullSafe("video")).alias("comments"), count_if("found").alias("scored"), count_if(F.col("topic").isNull()).alias("without_topic"), count_if("has_risk").alias("risky"))
-
-
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(value) AS scored, round(avg(value), 6) AS mean_value, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1""")
 def timeline_daily_utc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count("value").alias("scored"), F.round(F.avg("value"), 6).alias("mean_value"), count_if(F.col("event_type") == "error").alias("errors"))
