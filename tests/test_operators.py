@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators.components import connected_components
 from quillmark.operators.gazetteer import entities
-from quillmark.operators.latest import latest_by
+from quillmark.operators.latest import latest_by, latest_wide, sieve, sifted
 from quillmark.operators.merge import last_write_wins, newest, reuse
 from quillmark.operators.similarity import communities, nearest_centroid, pairs_above
 from quillmark.operators.timeseries import as_of, trailing_count, view_rate
@@ -26,6 +26,23 @@ def test_latest(spark):
     assert latest_by(df.limit(0), ["k"], "t").count() == 0
 
 
+def test_latest_wide(spark):
+    rng = random.Random(1)
+    rows = [(f"k{rng.randrange(400)}", rng.randrange(5), f"text {i}") for i in range(600)] + [(None, 1, "n"), ("hot", None, "x")] + [("hot", i, str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, v string")
+    want = sorted(map(tuple, latest_by(df, ["k"], "t", [F.col("v")]).collect()))
+    out = latest_wide(df, ["k"], "t", [F.col("v")])
+    assert sorted(map(tuple, out.collect())) == want and out.columns == df.columns
+    assert latest_wide(df.limit(0), ["k"], "t").count() == 0
+
+
+def test_sieve_finds_all_it_holds(spark):
+    df = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    own = sifted(df, F.col("h"), sieve(df.limit(2000)), "held")
+    assert own.join(df.limit(2000), "h", "left_semi").filter("not held").count() == 0
+    assert own.filter("held").count() < 2020
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
