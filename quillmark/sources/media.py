@@ -6,13 +6,18 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # PNG text keys that only image generators write.
 GENERATOR_KEYS = ("parameters", "prompt", "workflow", "invokeai_metadata", "sd-metadata")
 # Source types of media made or changed by a model.
-SOURCE_TYPES = ("trainedalgorithmicmedia", "compositewithtrainedalgorithmicmedia", "algorithmicmedia")
+SOURCE_TYPES = ("trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "algorithmicMedia")
+# Tools that write their name into the files they make.
+GENERATORS = ("Midjourney", "DALL-E", "DALL·E", "Stable Diffusion", "Adobe Firefly", "Imagen", "Muse Image", "NovelAI", "Leonardo.Ai", "ComfyUI", "Flux", "Ideogram", "Meta AI")
+# Verdicts, kinds of harm.
+VERDICTS = ("likely_ai", "no_ai_signs", "cant_tell")
+GRID = 1000
 BLOCKS = "struct<type: string, width: int, height: int, blocks: array<struct<kind: string, body: binary>>>"
 FRAMES = "struct<width: int, height: int, duration: double, frame_times: array<double>>"
 
@@ -202,17 +207,73 @@ def videos(df: DataFrame) -> DataFrame:
 def label_signals(df: DataFrame) -> DataFrame:
     """``path``, ``kind``, ``detail``: what the metadata says about how an image was made, each once.
 
-    kinds: ``source_type``, ``generator_settings``, ``credentials``.
+    kinds: ``source_type``, ``generator``, ``generator_settings``, ``credentials``; of
+    source types and tools the first in the lists above counts for a block.
     """
-    b = df.select("path", F.col("image.type").alias("type"), F.explode("image.blocks").alias("b"))
-    text = F.lower(F.decode("b.body", "ISO-8859-1"))
+    b = df.select("path", F.explode("image.blocks").alias("b"))
+    text = F.decode("b.body", "ISO-8859-1")
     key = F.regexp_extract(text, "^([^\\x00]+)\\x00", 1)
     kind = F.col("b.kind")
-    signals = F.array_compact(
-        F.array(
-            F.when(text.rlike("|".join(SOURCE_TYPES)), F.struct(F.lit("source_type").alias("kind"), F.regexp_extract(text, f"({'|'.join(SOURCE_TYPES)})", 1).alias("detail"))),
-            F.when((F.col("type") == "png") & kind.isin("tEXt", "iTXt", "zTXt") & key.isin(*GENERATOR_KEYS), F.struct(F.lit("generator_settings").alias("kind"), key.alias("detail"))),
-            F.when(text.contains("c2pa") | (kind == "caBX"), F.struct(F.lit("credentials").alias("kind"), F.lit("c2pa").alias("detail"))),
-        )
-    )
+
+    def first(words: tuple[str, ...]) -> Column:
+        return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])
+
+    manifest = (kind == "app11") & text.rlike("jumb|c2pa") | kind.isin("caBX", "C2PA")
+    signal = lambda name, detail: F.when(detail.isNotNull(), F.struct(F.lit(name).alias("kind"), detail.alias("detail")))
+    signals = F.array_compact(F.array(
+        signal("credentials", F.when(manifest, F.lit("c2pa"))), signal("source_type", first(SOURCE_TYPES)), signal("generator", first(GENERATORS)),
+        signal("generator_settings", F.when(kind.isin("tEXt", "iTXt", "zTXt") & key.isin(*GENERATOR_KEYS), key)),
+    ))
     return b.select("path", F.explode(signals).alias("s")).select("path", "s.kind", "s.detail").distinct()
+
+
+def labels(df: DataFrame) -> DataFrame:
+    """``path``, ``ai_label``, ``credentials`` of every image: whether its file says it was made with a model, and whether it carries a manifest."""
+    s = label_signals(df).groupBy("path").agg(F.bool_or(F.col("kind") != "credentials").alias("a"), F.bool_or(F.col("kind") == "credentials").alias("c"))
+    return df.select("path").join(s, "path", "left").select("path", F.coalesce("a", F.lit(False)).alias("ai_label"), F.coalesce("c", F.lit(False)).alias("credentials"))
+
+
+def verdict(ai_label: Column, model: Column, confidence: Column, least: float = 0.6) -> Column:
+    """A label in the file beats the model; a weak finding can't tell; no answer is unavailable."""
+    said = F.when(model == "likely_authentic", "no_ai_signs").when(model.isin(*VERDICTS), model).otherwise("cant_tell")
+    return F.when(ai_label, "labelled_ai").when(model.isNull(), "unavailable").when((said == "likely_ai") & (confidence < least), "cant_tell").otherwise(said)
+
+
+def clean_box(b: Column) -> Column:
+    """Left, top, right, bottom on the grid; null if not four numbers or inside out."""
+    c = F.transform(b, lambda x: F.greatest(F.lit(0), F.least(F.lit(GRID), F.floor(x + 0.5))))
+    ok = (F.size(b) == 4) & ~F.exists(b, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    c = F.when(ok, c)
+    return F.when((c[2] > c[0]) & (c[3] > c[1]), c)
+
+
+def union_box(a: Column, b: Column) -> Column:
+    """The box around two; the other where one is null."""
+    both = F.array(F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3]))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
+
+def hide_box(b: Column) -> Column:
+    """A box grown by a quarter of its width (20 at least) and 15 % of its height (15 at least), within the grid."""
+    dx = F.greatest(F.lit(20), F.floor((b[2] - b[0]) * 0.25 + 0.5))
+    dy = F.greatest(F.lit(15), F.floor((b[3] - b[1]) * 0.15 + 0.5))
+    zero, top = F.lit(0).cast("bigint"), F.lit(GRID).cast("bigint")
+    return F.when(b.isNotNull(), F.array(F.greatest(zero, b[0] - dx), F.greatest(zero, b[1] - dy), F.least(top, b[2] + dx), F.least(top, b[3] + dy)))
+
+
+def visible_regions(regions: Column, harmful: Column) -> Column:
+    """Regions that are hidden: private details always, the others where the image is harmful; names once each."""
+    shown = F.filter(regions, lambda r: F.coalesce(r["privacy"], F.lit(False)) | harmful)
+    return F.array_sort(F.array_distinct(F.transform(shown, lambda r: r["what"])))
+
+
+def tracked(boxes: DataFrame, frame: str, box: str) -> DataFrame:
+    """The box around all boxes of a frame."""
+    side = lambda i, f: f(F.col(box)[i])
+    return boxes.filter(F.col(box).isNotNull()).groupBy(frame).agg(F.array(side(0, F.min), side(1, F.min), side(2, F.max), side(3, F.max)).alias(box))
+
+
+def clean_assessment(signs: Column, most: int = 4) -> Column:
+    """Signs with a reason, in order: at most ``most`` said ones are looked at, texts trimmed and cut, boxes checked."""
+    said = F.filter(F.slice(signs, 1, most), lambda s: F.coalesce(F.trim(s["why"]) != "", F.lit(False)))
+    return F.transform(said, lambda s: F.struct(F.left(F.trim(s["what"]), F.lit(60)).alias("what"), F.trim(s["why"]).alias("why"), clean_box(s["box"]).alias("box")))
