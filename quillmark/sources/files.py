@@ -94,18 +94,27 @@ VALIDITY = "constraint string, dimension string, label string"
 
 
 def share_violations(rows: DataFrame) -> DataFrame:
-    """Broken constraints of an imported (dimension, label, percent) table."""
-    label = F.col("label")
+    """Broken constraints of an imported (dimension, label, percent[, count, suppressed]) table.
+
+    Labels are short and hold no address, link, tag or control sign; percents are
+    from 0 to 100 and null only where suppressed; counts are whole and not
+    negative; labels differ beyond their case; a dimension has at most 20 rows and
+    sums to 100.5 at most. All row checks are one pass.
+    """
+    label, said = F.col("label"), F.trim("label")
     checks = {
         "dimension": ~F.col("dimension").isin("age", "gender", "country"),
-        "label": (F.length(label) == 0) | (F.length(label) > 50) | label.rlike(r"[@<>\n]|https?://"),
+        "label": (F.length(said) == 0) | (F.length(label) > 50) | label.rlike(r"(?i)[@<>\r\n\x{0}-\x{1F}\x{200B}-\x{200F}]|https?:"),
         "percent": ~F.coalesce(F.col("percent").between(0, 100), F.lit(True)),
     }
-    single = [rows.filter(F.coalesce(c, F.lit(True))).select(F.lit(k).alias("constraint"), "dimension", "label") for k, c in checks.items()]
-    again = rows.groupBy("dimension", F.lower("label").alias("label")).count().filter("count > 1").select(F.lit("repeated").alias("constraint"), "dimension", "label")
+    if "count" in rows.columns:
+        checks["count"] = F.coalesce(F.col("count") < 0, F.lit(False)) | F.coalesce(F.col("count") != F.floor("count"), F.lit(False))
+    if "suppressed" in rows.columns:
+        checks["null percent"] = F.col("percent").isNull() & ~F.coalesce("suppressed", F.lit(False))
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in checks.items()]))
+    single = rows.select(F.explode(broken).alias("constraint"), "dimension", "label")
+    again = rows.groupBy("dimension", F.lower(said).alias("label")).count().filter("count > 1").select(F.lit("repeated").alias("constraint"), "dimension", "label")
     per = rows.groupBy("dimension").agg(F.count("*").alias("n"), F.sum("percent").alias("s"))
-    whole = per.filter("n > 20 or s > 100.5").select(F.when(F.col("n") > 20, "too many rows").otherwise("more than all").alias("constraint"), "dimension", F.lit(None).cast("string").alias("label"))
-    out = single[0]
-    for s in [*single[1:], again, whole]:
-        out = out.unionByName(s)
-    return out
+    over = F.array_compact(F.array(F.when(F.col("n") > 20, F.lit("too many rows")), F.when(F.col("s") > 100.5, F.lit("more than all"))))
+    whole = per.select(F.explode(over).alias("constraint"), "dimension", F.lit(None).cast("string").alias("label"))
+    return single.unionByName(again).unionByName(whole)
