@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.lookalike import Rewriter, rewrite_table
-from quillmark.operators.latest import latest_by
-from quillmark.session import ship_package
+from quillmark.operators.latest import latest_by, sieve, sifted
+from quillmark.session import materialise, ship_package
 
 FIELD = re.compile(r"^\s*(?:[^\W\d_][^\W_]*[ \t]*){1,4}:(?!//)\s*(?=\S)")
 SEPARATOR = re.compile(r"[;/|,\n\r]+")
@@ -69,7 +69,7 @@ def format_duplicates(df: DataFrame, key: str, column: str, time: str) -> DataFr
     ``first_post_id`` is the smallest post of the group, ``copies`` the size of
     the group. The latest row of a post counts; null texts and texts without
     letter or digit have no row. Groups are only counted and joined by digest, so
-    a group may hold any share of all rows.
+    a group may hold any share of all rows. Texts are read twice and never shuffled.
     """
     ship_package(df.sparkSession)
     table = rewrite_table(df, column)
@@ -89,20 +89,22 @@ def format_duplicates(df: DataFrame, key: str, column: str, time: str) -> DataFr
         r = Rewriter(table)
         for b in batches:
             keys = [hashlib.blake2b(exact_key(r(t)).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["id", "exact"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys, pa.binary())], names=["id", "at", "tie", "exact"])
 
     rows = _scan(df, key, column, time)
     schema = f"id string, at {at}, tie bigint, size int, hist binary"
     # Refinement 1: cheap invariants of every row's latest state.
-    narrow = latest_by(rows.mapInArrow(cheap, schema), ["id"], "at", [F.col("tie")]).filter("hist is not null").drop("at", "tie")
+    latest = latest_by(rows.mapInArrow(cheap, schema), ["id"], "at", [F.col("tie")]).filter("hist is not null").drop("at", "tie")
+    narrow = materialise(latest, "invariants")
     several = narrow.groupBy("size", "hist").agg(F.count("*").alias("n")).filter("n > 1").select("size", "hist")
-    in_several = narrow.join(several, ["size", "hist"], "left_semi").select("id")
-    alone = narrow.join(several, ["size", "hist"], "left_anti").select(F.col("id").alias("post_id"), F.col("id").alias("first_post_id"), F.lit(1).cast("long").alias("copies"))
-    # Refinement 2: the costly key, only for members of such classes.
-    candidates = latest_by(rows.join(in_several, "id", "left_semi"), ["id"], "at", [F.col("tie")]).select("id", "text").filter("text is not null")
-    keyed = candidates.mapInArrow(costly, "id string, exact binary")
+    in_several = narrow.join(several, ["size", "hist"], "left_semi").select(F.xxhash64("id").alias("h"))
+    # Refinement 2: the costly key, where the texts are read, for members of such classes and the few a sieve lets through besides.
+    candidates = sifted(rows, F.xxhash64("id"), sieve(in_several), "again").filter("again and text is not null").drop("again")
+    keyed = latest_by(candidates.mapInArrow(costly, f"id string, at {at}, tie bigint, exact binary"), ["id"], "at", [F.col("tie")]).join(narrow.select("id"), "id", "left_semi")
+    keyed = materialise(keyed.select("id", "exact"), "exact-keys")
     groups = keyed.groupBy("exact").agg(F.count("*").alias("copies"), F.min("id").alias("first_post_id"))
     grouped = keyed.join(groups, "exact").select(F.col("id").alias("post_id"), "first_post_id", "copies")
+    alone = narrow.join(keyed.select("id"), "id", "left_anti").select(F.col("id").alias("post_id"), F.col("id").alias("first_post_id"), F.lit(1).cast("long").alias("copies"))
     return grouped.unionByName(alone)
 
 
