@@ -14,10 +14,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators.latest import latest_by
+from quillmark.operators.latest import latest_by, latest_wide
 from quillmark.session import ship_package
 
 # Letters of other scripts that are drawn like a Latin letter.
@@ -147,6 +148,7 @@ class Rewriter:
     """Greedy longest-match rewriting by an Aho-Corasick automaton.
 
     A joiner between two emoji, or after a virama, changes what is drawn and stays.
+    A base with more than three marks, which has no count, is composed first.
     """
 
     def __init__(self, table: dict[str, str]) -> None:
@@ -162,6 +164,8 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if self.plain and text.isascii():
             return text
+        if _ORNATE.search(text):
+            text = _ORNATE.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
         out, at = [], 0
         for end, key in self.automaton.iter_long(text):
             start = end + 1 - len(key)
@@ -176,6 +180,10 @@ class Rewriter:
         return "".join(out)
 
 
+#: A base with more marks than are counted as one unit; composed before anything is looked up.
+_ORNATE = regex.compile(r"\P{M}\p{M}{4,}")
+
+
 def _joins(text: str, i: int) -> bool:
     before, after = text[i - 1 : i], text[i + 1 : i + 2]
     if before and unicodedata.combining(before) == 9:
@@ -184,12 +192,16 @@ def _joins(text: str, i: int) -> bool:
     return bool(before and after) and unicodedata.category(before) in pictures and unicodedata.category(after) == "So" and ord(before) > 0x2000
 
 
+#: Distinct units up to which the rewrite table is made.
+MOST_UNITS = 2_000_000
+
+
 def unit_counts(df: DataFrame, column: str) -> dict[str, int]:
     """Counts of every unit over the whole corpus.
 
-    Only non-ASCII units are counted one by one in Python; the table that reaches
-    the driver has one row for each distinct unit, so its size is bounded by the
-    Unicode repertoire and not by the data.
+    The table that reaches the driver has one row for each distinct unit of up to
+    three marks; the rewriter composes longer ones without a count. More than
+    ``MOST_UNITS`` of them are refused, none is left out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +218,10 @@ def unit_counts(df: DataFrame, column: str) -> dict[str, int]:
 
     ship_package(df.sparkSession)
     per_task = df.select(column).mapInArrow(count, "u string, n bigint")
-    # A base with more than three marks is ornament; it is rewritten by its parts.
-    rows = per_task.groupBy("u").agg(F.sum("n").alias("n")).filter(F.length("u") <= 4).collect()
-    return {r.u: r.n for r in rows}
+    rows = per_task.filter(F.length("u") <= 4).groupBy("u").agg(F.sum("n").alias("n")).limit(MOST_UNITS + 1).toArrow()
+    if rows.num_rows > MOST_UNITS:
+        raise ValueError(f"more than {MOST_UNITS} kinds of letters with marks")
+    return dict(zip(rows.column("u").to_pylist(), rows.column("n").to_pylist()))
 
 
 def rewrite_table(df: DataFrame, column: str) -> dict[str, str]:
@@ -236,7 +249,7 @@ def consistent_text(df: DataFrame, key: str, column: str, time: str | None = Non
             done = [None if t is None else r(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(done, pa.string())], names=[key, column, "consistent_text"])
 
-    base = df if time is None else latest_by(df.select(key, column, time), [key], time, [F.xxhash64(column)])
+    base = df if time is None else latest_wide(df.select(key, column, time), [key], time, [F.xxhash64(column)])
     return base.select(F.col(key).cast("string").alias(key), column).mapInArrow(rewrite, f"`{key}` string, `{column}` string, consistent_text string")
 
 
@@ -269,19 +282,23 @@ def form_digests(df: DataFrame, key: str, column: str, time: str) -> DataFrame:
     return latest_by(rows, ["id"], "at", [F.col("raw")]).filter("raw is not null").drop("at")
 
 
+#: Members of a class that one task joins with all others of it.
+AT_ONCE = 2_000
+
+
 def same_look_pairs(digests: DataFrame) -> DataFrame:
     """Pairs of posts with equal form and different characters.
 
     Only classes that hold two or more different texts are joined. The pairs are
     made between the different texts of a class, never inside one text, so a
-    group of exact copies of any size gives none among itself. Each side is split
-    by a salt of the larger side, which spreads a hot class over tasks.
+    group of exact copies of any size gives none among itself. A class of more than
+    ``AT_ONCE`` members is split by a salt on one side, as often as its size asks
+    for; ``look_groups`` gives the classes without any pair.
     """
-    texts = digests.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo <> hi").select("form")
-    members = digests.join(texts, "form", "left_semi")
-    salts = 16
-    left = members.select("form", F.col("raw").alias("raw_a"), F.col("id").alias("post_id_a"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    right = members.select("form", F.col("raw").alias("raw_b"), F.col("id").alias("post_id_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    texts = digests.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    members = digests.join(texts.select("form", F.ceil(F.col("n") / AT_ONCE).cast("int").alias("salts")), "form")
+    left = members.select("form", F.col("raw").alias("raw_a"), F.col("id").alias("post_id_a"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    right = members.select("form", F.col("raw").alias("raw_b"), F.col("id").alias("post_id_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return left.join(right, ["form", "salt"]).filter("raw_a <> raw_b and post_id_a < post_id_b").select("post_id_a", "post_id_b")
 
 

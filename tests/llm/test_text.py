@@ -223,3 +223,31 @@ def test_misspelt_mild_and_unquoted_insults():
         assert s.score(t)[0] >= abuse.LEAST, t
     for t in ("they called you a moron", "you fool around too much", "naangaaaa vandhu paathom", "the word idiot is wrong", "stop calling people idiots"):
         assert s.score(t)[0] < abuse.LEAST, t
+
+
+def test_texts_stay_where_they_are_read(spark, data):
+    """No exchange of these plans moves a column of texts."""
+    from quillmark.llm import queries as Q
+
+    for name in ("p4_found", "p5_found", "p7_found"):
+        plan = Q.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan
+        for line in plan.split("\n"):
+            assert not ("Exchange" in line and "original_text" in line), name
+
+
+def test_ornate_letters_are_composed():
+    marks = "\u0323\u0301\u0302\u0303\u0304"
+    r = lookalike.Rewriter(lookalike.classes({"e": 5, "a": 5}))
+    assert r("e" + marks + "x") == r("\u1eb9" + marks[1:] + "x")
+
+
+def test_pairs_of_a_split_class(spark, monkeypatch):
+
+
+    rows = [(f"p{i:03}", b"f", bytes([i % 3])) for i in range(60)] + [("q", b"g", b"x")]
+    df = spark.createDataFrame(rows, "id string, form binary, raw binary")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] != b[2] and a[0] < b[0]}
+    monkeypatch.setattr(lookalike, "AT_ONCE", 7)
+    got = [tuple(r) for r in lookalike.same_look_pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want)
