@@ -9,21 +9,26 @@ patterns, and a direct comparison confirms an occurrence.
 from __future__ import annotations
 
 import re
+import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillmark.session import ship_package
 
-WORD = re.compile(r"\w+")
+PLAIN = re.compile(r"[a-z0-9]+")
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 ITEMS_AT_ONCE = 20_000
 
 
 def words(text: str) -> list[str]:
-    """Words without letter case, punctuation and white space."""
-    return WORD.findall(text.lower().replace("_", " "))
+    """Words without letter case, punctuation and white space: runs of letters, their marks and digits, accents composed."""
+    low = text.lower()
+    return PLAIN.findall(low) if low.isascii() else WORD.findall(unicodedata.normalize("NFC", low))
 
 
 class WuManber:
@@ -64,6 +69,16 @@ class WuManber:
         return found
 
 
+#: The search table a Python worker made last, so that its next task need not make it again.
+_LAST: list[tuple[str, WuManber]] = []
+
+
+def _table(name: str, items: list[tuple[int, str]], window: int) -> WuManber:
+    if not _LAST or _LAST[0][0] != name:
+        _LAST[:] = [(name, WuManber(items, window))]
+    return _LAST[0][1]
+
+
 def _blocks(items: DataFrame, key: str, column: str) -> Iterator[list[Row]]:
     """Items in blocks of bounded size, so a search table always fits a task."""
     block: list[Row] = []
@@ -92,8 +107,10 @@ def leaks(corpus: DataFrame, items: DataFrame, *, key: str = "doc_id", column: s
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, matched_words bigint"
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex  # ITEMS_AT_ONCE items at most
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = WuManber(block, window)
+            table = _table(name, shared.value, window)
             for b in batches:
                 rows, hit, n = [], [], []
                 for i, t in enumerate(b.column(1).to_pylist()):

@@ -5,8 +5,8 @@ tests/llm holds them against brute force, round trips or held-out rows.
 """
 
 P8_FOUND = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, regexp_extract_all(nfc_normalize(lower(text)), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(nfc_normalize(lower(text)), '[\p{L}\p{M}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 dk AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12),
 ik AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM dk),

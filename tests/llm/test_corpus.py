@@ -102,3 +102,15 @@ def test_residue(spark):
     bad = {r.doc_id for r in residue.residue(df).filter("residue").collect()}
     assert bad == set(range(len(PROSE), len(PROSE) + len(RESIDUE)))
     assert residue.residue(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["सड़क पर आज भी पानी नहीं है और लोग बहुत परेशान दिखते हैं", "நேற்று மாலை நாங்கள் ஊருக்கு சென்ற போது அங்கே தண்ணீர் வரவில்லை என்று மக்கள் சொன்னார்கள் பாவம்", "caf\u00e9 un deux trois quatre cinq six sept huit neuf dix onze douze"])
+def test_words_of_every_script(spark, text):
+    import unicodedata
+
+    w = leakage.words(text)
+    assert len(w) >= 12 and w == [x for x in unicodedata.normalize("NFC", text).split()]
+    long, short = " ".join(w[:12]), " ".join(w[:11])
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, f"x {short} y"), (3, unicodedata.normalize("NFD", long))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, text)], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in leakage.leaks(docs, items).collect()) == [1, 3]
