@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.lookalike import Rewriter, classes, units
-from quillmark.operators.latest import latest_by
+from quillmark.operators.latest import latest_by, latest_wide
 from quillmark.session import ship_package
 
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
@@ -324,7 +324,8 @@ def personal_data(df: DataFrame, key: str, column: str, time: str | None = None)
 
     Where ``time`` is given the latest row of a key counts. Null texts give a null
     text and no finds; texts without finds come out unchanged. Offsets are code
-    points of the original. Whole texts are read; extra columns are not.
+    points of the original. Whole texts are read; extra columns are not. Only texts
+    of keys that occur more than once are shuffled.
     """
     ship_package(df.sparkSession)
     kind = dict(df.dtypes)[key]
@@ -338,7 +339,7 @@ def personal_data(df: DataFrame, key: str, column: str, time: str | None = None)
             rows = [[{"start": x, "end": y, "type": k, "score": s} for x, y, k, s in f] for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(rows, pa.list_(span))], names=[key, "redacted_text", "finds"])
 
-    base = df.select(key, column) if time is None else latest_by(df.select(key, column, time), [key], time, [F.xxhash64(column)]).select(key, column)
+    base = df.select(key, column) if time is None else latest_wide(df.select(key, column, time), [key], time, [F.xxhash64(column)]).select(key, column)
     return base.mapInArrow(run, f"`{key}` {kind}, redacted_text string, finds array<struct<start: int, end: int, type: string, score: double>>")
 
 

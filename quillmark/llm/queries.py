@@ -75,6 +75,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(materialise(digests, "digests"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    from quillmark.llm.lookalike import form_digests, look_groups
+
+    digests = form_digests(table(spark, d, "posts_nlp"), "post_id", "original_text", "processed_at")
+    return look_groups(materialise(digests, "digests"))
+
+
 def p5_consistent_text(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.lookalike import consistent_text
 
@@ -112,9 +119,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from quillmark.llm.pii import personal_data
 
-    return personal_data(table(spark, d, "post_inputs"), "post_id", "original_text", "received_at").select("post_id", "redacted_text")
+    times = {"post_inputs": "received_at", "posts_nlp": "processed_at"}
+    a, b = (personal_data(table(spark, d, t), "post_id", "original_text", at).select(F.lit(t).alias("table_name"), "post_id", "redacted_text", F.size("finds").alias("finds")) for t, at in times.items())
+    return a.unionByName(b)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
