@@ -89,9 +89,34 @@ def test_spans():
     assert spans.analysis_text("RT @citizen: OMG!!! #SaveTirunelveli This is amazing!!", set()) == "RT : OMG !!! save tirunelveli This is amazing !!"
     assert spans.first_json('```json {"items":[{"id":"a","evidence":"x}\\"y"}]} ``` more') == {"items": [{"id": "a", "evidence": 'x}"y'}]}
     assert spans.first_json("none") is None
+    assert spans.spans_of("a!! \U0001f600") == [("repeated", 1, 3), ("emoji", 4, 5)]
+    cost = spans.word_costs({"save": 5, "the": 9, "lake": 2, "sav": 1})
+    assert spans.hashtag_words("#savethelake", cost) == ["save", "the", "lake"] and spans.hashtag_words("#zzqq", cost) == ["zzqq"]
+    assert spans.nlp_text("see https://a.b @you #BigDay wow!!!", set()) == "see you big day wow!"
 
 
 def test_with_spans(spark):
     df = spark.createDataFrame([(1, "hi @you"), (2, None), (3, "")], "id int, t string").withColumn("spans", F.lit("clash"))
     got = {r.id: r for r in spans.with_spans(df, "id", "t").collect()}
     assert got[1].spans[0].text == "@you" and got[2].spans is None and got[3].spans == []
+
+
+def test_salvage():
+    from quillmark.functions.answers import objects
+
+    assert objects('```json\n[{"id":"b"}]\n``` trailing') == [{"id": "b"}]
+    assert objects('[{"id":"a","label": neutral, "r":"x}\\"y"},{"id":"b","label":"positive"},{"id":"cut') == [{"id": "a", "label": "neutral", "r": 'x}"y'}, {"id": "b", "label": "positive"}]
+    assert objects(None) == [] and objects("no") == [] and objects('{"id": 1}') == [{"id": 1}]
+
+
+def test_segment_and_estimate_rules(spark):
+    from quillmark.functions.answers import valid_estimate, valid_segment
+
+    text = F.lit("As a student I think the buses are far too late every single day")
+    seg = lambda s, e, c: one(spark, valid_segment(text, F.lit(s), F.lit(e).cast("string"), F.lit(c).cast("double")), "")
+    assert tuple(seg("student", "as a student", 0.905)) == ("student", "as a student", 0.91)
+    for s, e, c in (("student", "the buses", 0.9), ("student", "as a student", 0.5), ("king", "as a student", 0.9), ("student", None, 0.9), ("student", "I am not there", 0.9)):
+        assert seg(s, e, c).id == "unstated"
+    est = lambda *a: tuple(one(spark, valid_estimate(*[F.lit(x) for x in a[:4]], F.lit(a[4])), ""))
+    assert est("18-24", "male", "in", "tamil NADU", 0.5) == ("18-24", "male", "IN", "Tamil Nadu", 0.5)
+    assert est("18", "x", "US", "Tamil Nadu", 0.5) == (None, None, "US", None, 0.5) and est("18-24", "male", "IN", "Goa", 0.3) == (None,) * 5
