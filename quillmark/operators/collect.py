@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmark.operators.similarity import batches_of
 
@@ -64,6 +65,7 @@ def answered(df: DataFrame, call: Callable[[pa.RecordBatch], pa.Array], name: st
     function is shipped to the tasks, so a model is loaded where it is first used.
     """
     schema = ", ".join([*(f"`{c}` {k}" for c, k in df.dtypes), f"`{name}` {kind}"])
+    nothing = to_arrow_type(df.sparkSession.createDataFrame([], f"x {kind}").schema["x"].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, at_once):
@@ -72,7 +74,7 @@ def answered(df: DataFrame, call: Callable[[pa.RecordBatch], pa.Array], name: st
             try:
                 got = call(b)
             except Exception:  # noqa: BLE001 - a failing model must not end the job
-                got = pa.nulls(b.num_rows)
+                got = pa.nulls(b.num_rows, nothing)
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, name])
 
     return df.mapInArrow(run, schema)

@@ -26,7 +26,8 @@ def newest(df: DataFrame, keys: list[str], time: str, keep: int, tie: str) -> Da
 
 def reuse(new: DataFrame, old: DataFrame, key: str, text: str, results: list[str]) -> DataFrame:
     """New rows with the old results where the text is unchanged, else nulls and ``todo`` true."""
-    prior = old.select(F.col(key).alias("__k"), F.col(text).alias("__text"), *[F.col(c).alias(f"__{c}") for c in results]).dropDuplicates(["__k"])
+    prior = old.select(F.col(key).alias("__k"), F.col(text).alias("__text"), *[F.col(c).alias(f"__{c}") for c in results])
+    prior = latest_by(prior.withColumn("__one", F.lit(1)), ["__k"], "__one", [F.xxhash64("__text"), *[F.col(f"__{c}") for c in results]]).drop("__one")
     joined = new.join(prior, F.col(key) == F.col("__k"), "left")
     same = F.col("__k").isNotNull() & F.col("__text").eqNullSafe(F.col(text)) & F.col(f"__{results[0]}").isNotNull()
     return joined.select(*new.columns, *[F.when(same, F.col(f"__{c}")).alias(c) for c in results], (~same).alias("todo"))

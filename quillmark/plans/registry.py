@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.plans import answer_views, audience, collect_views, decision_views, entity_views, graph, growth_views, merge_views, more_views, post_views, rollups, similarity_views, source_views, span_views, stream_views, text_views  # noqa: F401
+from quillmark.plans import answer_views, audience, collect_views, decision_views, entity_views, graph, growth_views, merge_views, more_views, post_views, rollups, scalar_views, similarity_views, source_views, span_views, stream_views, text_views  # noqa: F401
 from quillmark.plans.base import QUERIES, SQL, Query
 
 

@@ -117,3 +117,93 @@ def reviews(events: DataFrame, key: str, verdict: str, time: str) -> DataFrame:
 def upsert_batches(events: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Incremental merge: the latest row of each key over all batches, the same when a batch is run again."""
     return drain(events, "append", lambda out: latest_by(out, keys, time, [F.col("batch")]))
+
+
+def stateful(events: DataFrame, key: str, time: str, order: list[str], out: str, state: str, step: Callable[[tuple | None, dict], tuple[tuple, dict | None]], late: str = "1 hour", keep_ms: int | None = None) -> DataFrame:
+    """Rows of each key through a state, in order of time: ``step(state, row) -> (state, output or None)``.
+
+    ``out`` and ``state`` are schemas. Where ``keep_ms`` is given the state of a key
+    is dropped once the watermark is that much beyond its last row.
+    """
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        now: Any = tuple(held.get) if held.exists else None
+        made = []
+        rows = pd.concat(list(frames)).sort_values([time, *order], kind="stable")
+        for row in rows.to_dict("records"):
+            now, got = step(now, row)
+            if got is not None:
+                made.append(got)
+        if now is not None:
+            held.update(now)
+            if keep_ms is not None:
+                held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, int(rows[time].max().timestamp() * 1000) + keep_ms))
+        if made:
+            yield pd.DataFrame(made, columns=names)
+
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.EventTimeTimeout
+    return events.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, out, state, "append", timeout)
+
+
+def flagged(events: DataFrame, key: str, row: str, time: str) -> DataFrame:
+    """``row``, ``is_duplicate``: every row stays; all but the first of its key are flagged, across batches."""
+    kind = dict(events.dtypes)[row]
+    return stateful(events.select(key, row, time), key, time, [row], f"{row} {kind}, is_duplicate boolean", "seen boolean", lambda s, r: ((True,), {row: r[row], "is_duplicate": s is not None}))
+
+
+def budgeted(events: DataFrame, key: str, row: str, cost: str, time: str, budget: float) -> DataFrame:
+    """``row``, ``spent``, ``exhausted``: the running cost of each key and whether its budget is used up; it never is given back."""
+    kind = dict(events.dtypes)[row]
+
+    def step(s: tuple | None, r: dict) -> tuple[tuple, dict]:
+        spent = (s[0] if s else 0.0) + (0.0 if pd.isna(r[cost]) else float(r[cost]))
+        return (spent,), {row: r[row], "spent": spent, "exhausted": spent >= budget}
+
+    return stateful(events.select(key, row, cost, time), key, time, [row], f"{row} {kind}, spent double, exhausted boolean", "spent double", step)
+
+
+def cached_answers(events: DataFrame, key: str, row: str, time: str, seconds: int = 3600) -> DataFrame:
+    """``row``, ``hit``: whether an answer for the key was made at most ``seconds`` before; a miss makes one. State older than that is dropped."""
+    kind = dict(events.dtypes)[row]
+
+    def step(s: tuple | None, r: dict) -> tuple[tuple, dict]:
+        at = int(r[time].timestamp() * 1_000_000)
+        hit = s is not None and at - s[0] <= seconds * 1_000_000
+        return (s if hit else (at,)), {row: r[row], "hit": hit}
+
+    return stateful(events.select(key, row, time), key, time, [row], f"{row} {kind}, hit boolean", "made bigint", step, keep_ms=seconds * 1000 + 1)
+
+
+def trailing_distinct(events: DataFrame, key: str, row: str, text: str, time: str, days: int = 7) -> DataFrame:
+    """``row``, ``n``: distinct texts of the key first seen in the trailing days; a text that is repeated within them adds no row."""
+    kind = dict(events.dtypes)[row]
+    span = days * 86_400_000_000
+
+    def step(s: tuple | None, r: dict) -> tuple[tuple, dict | None]:
+        at = int(r[time].timestamp() * 1_000_000)
+        seen = {t: a for t, a in zip(*s) if at - a < span} if s else {}
+        if str(r[text]) in seen:
+            return (list(seen), list(seen.values())), None
+        seen[str(r[text])] = at
+        return (list(seen), list(seen.values())), {row: r[row], "n": len(seen)}
+
+    return stateful(events.select(key, row, text, time), key, time, [row], f"{row} {kind}, n bigint", "texts array<string>, at array<bigint>", step, keep_ms=days * 86_400_000 + 1)
+
+
+def reused(stream_: DataFrame, old: DataFrame, key: str, text: str, time: str, result: str) -> DataFrame:
+    """Incremental processing: stream rows with the stored result where the text is unchanged; the newest of each key counts."""
+    side = old.select(F.col(key).alias("__k"), F.col(text).alias("__t"), F.col(result).alias("__r"))
+    j = stream_.join(side, stream_[key] == side["__k"], "left")
+    same = F.col("__k").isNotNull() & F.col("__t").eqNullSafe(F.col(text)) & F.col("__r").isNotNull()
+    out = j.select(key, time, text, F.when(same, F.col("__r")).alias(result), (~same).alias("todo"))
+    return drain(out, "append", lambda o: latest_by(o, [key], time, [F.col(text), F.col("batch")]))
+
+
+def run_every(df: DataFrame, write: Callable[[DataFrame, int], None], log: str, every: str | None = None):  # noqa: ANN201
+    """Start a stream with a polling interval, or, without one, over what is there; returns the running query."""
+    w = df.writeStream.foreachBatch(write).option("checkpointLocation", log)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()

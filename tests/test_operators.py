@@ -179,3 +179,59 @@ def test_review_steps():
     assert review_step(("waiting", 0), "approve", 5) == ("approved", 5)
     assert review_step(("waiting", 0), "approve", REVIEW_SECONDS + 1) == ("expired", REVIEW_SECONDS)
     assert review_step(("upheld", 3), "approve", 9) == ("upheld", 3)
+
+
+def test_answered_and_cached(spark):
+    import pyarrow as pa
+
+    from quillmark.operators.collect import answered, cached, hydrated, owned
+
+    def call(b):
+        if any(x is None for x in b.column(1).to_pylist()):
+            raise RuntimeError("no model")
+        return pa.array([len(x) for x in b.column(1).to_pylist()], pa.int64())
+
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, None), (4, "dddd")], "id int, t string").coalesce(1)
+    assert [r.n for r in answered(df, call, "n", "bigint", at_once=2).orderBy("id").collect()] == [1, 2, None, None]
+    cache = spark.createDataFrame([("k1", "x"), ("o2", "y"), ("o1", "z")], "key string, v string")
+    keys = [F.concat(F.lit("k"), F.col("id").cast("string")), F.concat(F.lit("o"), F.col("id").cast("string"))]
+    assert [(r.v, r.level) for r in cached(df, cache, keys, "v").orderBy("id").collect()] == [("x", 1), ("y", 2), (None, 0), (None, 0)]
+    details = spark.createDataFrame([(1, "c", None), (2, "c", False), (4, "gone", True)], "id int, channel_id string, relevant boolean")
+    assert [r.id for r in hydrated(df, details, "id", spark.createDataFrame([("c",)], "channel_id string"), relevant="relevant").collect()] == [1]
+    chosen = spark.createDataFrame([("c", ["v", "w"]), ("b", ["v"])], "channel_id string, video_ids array<string>")
+    p = spark.createDataFrame([("p", "v"), ("q", "z"), ("r", None)], "post_id string, video_id string")
+    assert sorted((r.post_id, r.channel_id) for r in owned(p, chosen).collect()) == [("p", "b"), ("q", None), ("r", None)]
+
+
+def test_sinks(spark, tmp_path):
+    from quillmark.sinks import files
+
+    df = spark.createDataFrame([("seed:1", "seed", 1), ("a", "x", None), ("b", None, 2)], "post_id string, source string, n int")
+    status = files.persist_corpus(df, ["n"], ["source"], f"file://{tmp_path}/c")
+    assert status == {"results": 1, "details": 2, "errors": []}
+    assert files.upsert(spark.createDataFrame([("b", 9), ("c", 1)], "post_id string, n int"), f"file://{tmp_path}/c/results", ["post_id"]) == 2
+    assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/c/results").collect()) == [("b", 9), ("c", 1)]
+    (tmp_path / "bad").write_text("a file where a folder should be")
+    assert files.persist_corpus(df, ["n"], ["source"], f"file://{tmp_path}/bad")["errors"]
+    assert files.persist_run("r", df, f"file://{tmp_path}") == (3, 3)
+
+
+def test_options(spark, tmp_path):
+    from quillmark.options import Options, load
+
+    (tmp_path / "o").write_text("# note\nQUILLMARK_BATCH=7\ngroup='x'\nunknown=1\nquestions=no\n")
+    assert load(env={}) == Options()
+    assert load(str(tmp_path / "o"), spark, {"QUILLMARK_BATCH": "9", "OTHER": "1"}) == Options(batch=9, group="x", questions=False)
+    with pytest.raises(ValueError):
+        load(env={"QUILLMARK_QUESTIONS": "perhaps"})
+
+
+def test_media_rules(spark):
+    from quillmark.sources import media
+
+    box = lambda *b: F.array(*[F.lit(float(x)) for x in b])
+    row = spark.range(1).select(media.clean_box(box(-5, 0.4, 2000, 10)).alias("a"), media.clean_box(box(5, 0, 5, 9)).alias("b"), media.hide_box(media.clean_box(box(100, 100, 200, 200))).alias("c"), media.union_box(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), F.array(F.lit(0), F.lit(5), F.lit(2), F.lit(9))).alias("d")).first()
+    assert (row.a, row.b, row.c, row.d) == ([0, 0, 1000, 10], None, [75, 85, 225, 215], [0, 2, 3, 9])
+    said = [(True, None, None, "labelled_ai"), (False, None, None, "unavailable"), (False, "likely_ai", 0.3, "cant_tell"), (False, "likely_ai", 0.8, "likely_ai"), (False, "likely_authentic", 0.9, "no_ai_signs"), (False, "odd", 0.9, "cant_tell")]
+    df = spark.createDataFrame(said, "a boolean, m string, c double, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", media.verdict(F.col("a"), F.col("m"), F.col("c"))).collect())
