@@ -2,9 +2,9 @@
 
 Method: bisecting k-means. The nodes of largest dispersion are split in two, again
 and again, by passes over all vectors, until the leaves are compact; leaves whose
-typical members are linked are one cluster. An exact check of all links between
-different sets then joins sets and posts the leaves left apart, and finds small
-clusters among the posts no leaf explains.
+typical members are linked are one set. Posts are then compared with all members
+of the other leaves near them, which joins sets and posts the tree left apart, and
+posts that no centre explains are compared exactly with one another.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.lookalike import UnionFind
-from quillmark.llm.vectors import SCALE, matrix, only, passes, small, unpacked
+from quillmark.llm.vectors import SCALE, matrix, only, passes, slices, small, unpacked
 from quillmark.operators.components import connected_components
 from quillmark.session import materialise, ship_package
 
@@ -37,7 +36,13 @@ class Limits:
     seeds: int = 24  # rows of a node that only start the two centres
     at_once: int = 256  # nodes of largest dispersion that are split in one round
     typical: int = 8  # centre-nearest members kept of a leaf
-    most_leaves: int = 4096
+    most_leaves: int = 4096  # size of the tree; where it is reached leaves are larger, nothing is left out
+    # A post is compared with the members of all leaves whose centre it is this near to. Linked to a member,
+    # it is expected at ``link`` times that member's nearness, about .2; unlike vectors are at 0 +- .05.
+    near_loose: float = 0.08  # for posts of no set
+    near_set: float = 0.15  # for members of other sets
+    members_at_once: int = 16_384  # larger leaves are compared in parts
+    posts_at_once: int = 65_536
 
 
 @dataclass
@@ -233,13 +238,15 @@ def _diffuse(node: Node, sample: np.ndarray, limits: Limits) -> bool:
 
 
 def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_size: int = 5, limits: Limits | None = None) -> DataFrame:
-    """Members of clusters: ``key``, ``model``, ``cluster`` (its smallest key), ``size``, ``similarity`` to the centre, ``typical`` (rank by it).
+    """Members of clusters: ``key``, ``model``, ``cluster`` (its smallest key), ``size``, ``similarity`` to the centre, ``extra``.
 
     Posts linked, at a similarity of ``limits.link`` or more, to a centre-nearest
-    member of a leaf make a first set with it. Then every post is compared,
-    exactly, with all posts outside its set, so that clusters are the largest sets
-    joined by links, whichever members these run through; those of ``least_size``
-    or more count. Models are never mixed. An empty table gives no rows.
+    member of a leaf make a first set with it. Every post is then compared with all
+    members of the leaves near it that hold other sets (``near_links``), and posts
+    that no centre explains with one another (``odd_links``); clusters are the sets
+    joined by these links, those of ``least_size`` or more count. Only a link of an
+    explained member to a post that is unlike its centre can be missed; the README
+    gives the measured recall. Models are never mixed. An empty table gives no rows.
     """
     limits = limits or Limits()
     spark = vectors.sparkSession
@@ -265,19 +272,10 @@ def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_siz
     top = placed.withColumn("n", F.row_number().over(by_leaf)).filter(F.col("n") <= limits.typical)
     reps = rows.join(small(materialise(top.select("rid", "leaf"), "typical")), "rid").select("leaf", "rid", "model", "vec").collect()
     reps.sort(key=lambda r: (r.leaf, r.rid))
-    links = UnionFind()
     rep_leaf = np.array([r.leaf for r in reps], int)
     rep_model = np.array([r.model for r in reps])
     rep_x = matrix(pa.array([r.vec for r in reps], pa.binary()))
-    anchor = {}  # representative -> its set, one set for all linked representatives
-    for i in range(0, len(reps), 512):
-        s = rep_x[i : i + 512] @ rep_x.T
-        s[rep_model[i : i + 512][:, None] != rep_model[None, :]] = -1
-        for a, b in zip(*np.nonzero(s >= limits.link)):
-            links.union(str(i + a), str(b))
-    for i in range(len(reps)):
-        anchor[i] = int(links.find(str(i)))
-    sets = np.array([anchor[i] for i in range(len(reps))], int)
+    sets = linked_sets(rep_x, rep_model, limits.link)
     table = spark.sparkContext.broadcast((rep_leaf, rep_model, rep_x, sets))
     link = limits.link
 
@@ -308,11 +306,13 @@ def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_siz
                 s[models_here[part][:, None] != model[None, :]] = -1
                 hit = s.max(1) >= link
                 out[part[hit]] = group[s.argmax(1)][hit]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array(near), b.column(1), b.column(2)], names=["rid", "grp", "near", "model", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array(near), b.column(1), b.column(2), pa.array(leaf.astype(np.int32))], names=["rid", "grp", "near", "model", "vec", "leaf"])
 
-    schema = "rid bigint, grp bigint, near double, model string, vec binary"
+    schema = "rid bigint, grp bigint, near double, model string, vec binary, leaf int"
     attached = materialise(rows.mapInArrow(attach, schema), "attached") if reps else spark.createDataFrame([], schema)
-    comp = small(materialise(connected_components(set_links(attached, limits.link)), "components"))
+    near = materialise(near_links(attached, tree, limits), "near-links")
+    links = near.unionAll(odd_links(attached, near, limits))
+    comp = small(materialise(connected_components(links), "components"))
     own = attached.select("rid", F.when(F.col("grp") < 0, F.col("rid")).otherwise(-1 - F.col("grp")).alias("node"))
     of = own.join(comp, "node", "left").select("rid", F.coalesce("component", "node").alias("grp"))
     sized = of.join(heads.select("rid", "key", "model", "extra"), "rid").join(attached.select("rid", "near"), "rid")
@@ -320,46 +320,122 @@ def clusters(vectors: DataFrame, heads: DataFrame, *, size: int = 384, least_siz
     return sized.join(info, "grp").select("key", "model", "cluster", "size", F.col("near").alias("similarity"), "extra")
 
 
-def set_links(attached: DataFrame, link: float) -> DataFrame:
-    """Links (a, b) between different sets: every row is compared with all rows of its model outside its set.
+def linked_sets(x: np.ndarray, model: np.ndarray, link: float) -> np.ndarray:
+    """For each row the smallest row of its set: rows of a model joined by links, directly or through others."""
+    root = np.arange(len(x))
+    for i in range(0, len(x), 512):
+        linked = x[i : i + 512] @ x.T >= link
+        linked &= model[i : i + 512, None] == model[None, :]
+        for own, hit in enumerate(linked, i):
+            met = np.unique(np.append(root[hit], root[own]))
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[0]
+    return root
 
-    ``attached`` holds rid, grp (the set; negative for a row of its own), model and
-    vec. A node is -1 - grp for a set and rid for a row of its own. Rows and
-    broadcasts are ordered by set, each pair of sets being compared from the
-    smaller side only. The work is quadratic in the rows, less the pairs within sets.
+
+def _node(b: pa.RecordBatch) -> np.ndarray:
+    """-1 - grp for a row of a set, rid for a row of its own; of columns rid and grp."""
+    g = b.column("grp").to_numpy()
+    return np.where(g < 0, b.column("rid").to_numpy(), -1 - g)
+
+
+def near_links(attached: DataFrame, tree: Tree, limits: Limits) -> DataFrame:
+    """Links (a, b) of posts to members of other sets in the leaves near them.
+
+    A post goes to every leaf of its model whose centre is near enough and that
+    holds members of another set; there it is compared with all these members.
+    Leaves and their visitors are cut to parts of bounded size, each pair of parts
+    is one task's work. A node is -1 - grp for a set and rid for a post of no set.
     """
-    rows = attached.select("rid", "model", F.when(F.col("grp") < 0, 2**62).otherwise(F.col("grp")).alias("grp"), "vec")
-    out = None
-    for shared in passes(rows, "model", "grp"):
+    spark = attached.sparkSession
+    members = attached.filter("grp >= 0")
+    # One row for each leaf: whether it holds one set, and how many rows.
+    held = {r.leaf: (r.lo if r.lo == r.hi else -1) for r in members.groupBy("leaf").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).collect()}
+    leaves = np.array(sorted(held), np.int64)
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    if not len(leaves):
+        return empty
+    shared = spark.sparkContext.broadcast((leaves, np.array([held[k] for k in leaves.tolist()]), np.array([tree.nodes[k].model for k in leaves]), np.stack([tree.nodes[k].centre for k in leaves]).astype(np.float32)))
+    loose, strict = limits.near_loose, limits.near_set
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, only_set, model, centres = shared.value
+        for whole in batches:
+            for b in slices(whole):
+                x = matrix(b.column("vec"))
+                g = b.column("grp").to_numpy()
+                go = x @ centres.T >= np.where(g < 0, loose, strict)[:, None]
+                go &= np.array(b.column("model").to_pylist())[:, None] == model[None, :]
+                go &= (g[:, None] != only_set[None, :]) | (only_set < 0)[None, :]
+                row, leaf = np.nonzero(go)
+                for i in range(0, len(row), 4096):
+                    r = pa.array(row[i : i + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(of[leaf[i : i + 4096]].astype(np.int32)), b.column("rid").take(r), b.column("grp").take(r), b.column("vec").take(r)], names=["leaf", "rid", "grp", "vec"])
+
+    cols = attached.select("rid", "grp", "model", "vec")
+    visits = materialise(cols.mapInArrow(visit, "leaf int, rid bigint, grp bigint, vec binary"), "visits")
+    size = members.groupBy("leaf").agg(F.ceil(F.count("*") / limits.members_at_once).cast("int").alias("mparts")).join(visits.groupBy("leaf").agg(F.ceil(F.count("*") / limits.posts_at_once).cast("int").alias("vparts")), "leaf")
+    size = F.broadcast(materialise(size, "leaf-sizes"))  # most_leaves rows at most
+    part = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    m = members.join(size, "leaf").select("leaf", part("mparts").alias("m"), "vparts", "rid", "grp", "vec").select("leaf", "m", each("vparts").alias("v"), F.lit(True).alias("member"), "rid", "grp", "vec")
+    v = visits.join(size, "leaf").select("leaf", part("vparts").alias("v"), "mparts", "rid", "grp", "vec").select("leaf", each("mparts").alias("m"), "v", F.lit(False).alias("member"), "rid", "grp", "vec")
+    link = limits.link
+
+    def compare(t: pa.Table) -> pa.Table:
+        b = t.combine_chunks().to_batches()[0]
+        own = b.column("member").to_numpy(zero_copy_only=False)
+        node = _node(b)
+        at, to = np.flatnonzero(~own), np.flatnonzero(own)
+        y = matrix(b.column("vec").take(pa.array(to)))
+        found = [np.zeros((0, 2), np.int64)]
+        for i in range(0, len(at), 2048):
+            one = at[i : i + 2048]
+            p, q = np.nonzero(matrix(b.column("vec").take(pa.array(one))) @ y.T >= link)
+            ends = np.stack([node[one[p]], node[to[q]]], 1)
+            found.append(np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0))
+        ends = np.unique(np.concatenate(found), axis=0)
+        return pa.Table.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    both = v.select("leaf", "m", "v", "member", "rid", "grp", "vec").unionAll(m.select("leaf", "m", "v", "member", "rid", "grp", "vec"))
+    return both.groupBy("leaf", "m", "v").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def odd_links(attached: DataFrame, near: DataFrame, limits: Limits) -> DataFrame:
+    """Links (a, b) between posts that no centre explains: posts of no set, and untypical members of sets.
+
+    Exact, and quadratic in these posts only: each is compared with all of its
+    model, but for posts of no set that have a link already, which are only met by
+    the others. Nodes are as in ``near_links``.
+    """
+    odd = materialise(attached.filter((F.col("grp") < 0) | (F.col("near") < limits.core)).select("rid", "model", "grp", "vec"), "odd")
+    known = near.select(F.explode(F.array("a", "b")).alias("rid")).filter("rid >= 0").distinct()
+    some = materialise(odd.join(small(materialise(known, "linked")), "rid", "left_anti"), "odd-alone")
+    link = limits.link
+    out = attached.sparkSession.createDataFrame([], "a bigint, b bigint")
+    for shared in passes(odd, "model", "grp"):
 
         def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             other, packed = shared.value
-            model, group = other["model"], other["grp"]
-            node = np.where(group == 2**62, other["rid"], -1 - group)
-            for b in batches:
-                mine, g = np.array(b.column(1).to_pylist(), object), b.column(2).to_numpy()
-                ids = np.where(g == 2**62, b.column(0).to_numpy(), -1 - g)
-                for m in np.unique(mine):
-                    at = np.flatnonzero(mine == m)
-                    at = at[np.argsort(g[at], kind="stable")]
-                    x = matrix(b.column(3).take(pa.array(at)))
-                    first, last = np.searchsorted(model, m, "left"), np.searchsorted(model, m, "right")
-                    for i in range(first, last, 4096):
-                        j = min(i + 4096, last)
-                        top = group[j - 1]  # the rows of larger sets meet these from the other side
-                        n = len(at) if top == 2**62 else int(np.searchsorted(g[at], top, "left"))
-                        y = unpacked(packed[i:j]) if n else None
-                        for p in range(0, n, 1024):
-                            u, v = np.nonzero(x[p : min(p + 1024, n)] @ y.T >= link)
-                            u, v = at[p + u], i + v
-                            keep = (g[u] < group[v]) | (g[u] == 2**62) & (group[v] == 2**62) & (ids[u] < node[v])
-                            ends = np.unique(np.stack([ids[u[keep]], node[v[keep]]], 1), axis=0)
+            model = other["model"]
+            to = np.where(other["grp"] < 0, other["rid"], -1 - other["grp"])
+            for whole in batches:
+                for b in slices(whole):
+                    mine, own = np.array(b.column("model").to_pylist(), object), _node(b)
+                    for m in np.unique(mine):
+                        at = np.flatnonzero(mine == m)
+                        x = matrix(b.column("vec").take(pa.array(at)))
+                        first, last = np.searchsorted(model, m, "left"), np.searchsorted(model, m, "right")
+                        for i in range(first, last, 4096):
+                            j = min(i + 4096, last)
+                            u, v = np.nonzero(x @ unpacked(packed[i:j]).T >= link)
+                            one, two = own[at[u]], to[i + v]
+                            keep = one != two
+                            ends = np.unique(np.sort(np.stack([one[keep], two[keep]], 1), 1), axis=0)
                             if len(ends):
                                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-        found = materialise(rows.mapInArrow(compare, "a bigint, b bigint").distinct(), "set-links")
-        out = found if out is None else out.unionAll(found)
-    assert out is not None
+        out = out.unionAll(materialise(some.mapInArrow(compare, "a bigint, b bigint").distinct(), "odd-links"))
     return out
 
 
