@@ -2,8 +2,9 @@
 
 Method: Levenshtein automata intersected with a lexicon trie find abusive terms
 in any spelling; the words in a window around a hit tell whether it is said to
-somebody, quoted, or harmless. Threats, wishes of harm and statements against
-groups that need no bad word are word frames, scored the same way.
+somebody, quoted, or harmless. Harm that is wished, demanded or announced is told
+from the words around a harm word; statements against groups and other abuse that
+needs no bad word are word frames, a departure from the method, scored the same way.
 """
 
 from __future__ import annotations
@@ -37,6 +38,30 @@ naaye naayi porukki loosu muttaal kazhudhai thevdiya punda otha mayiru erumai pa
 कमीना कमीने हरामी गधा गधे उल्लू बेवकूफ कुत्ता कुत्ते चूतिया मादरचोद रंडी सूअर नालायक साला
 நாயே நாய் பொறுக்கி லூசு முட்டாள் கழுதை தேவடியா எருமை பன்னி
 """
+# More insults, mostly of British, American, Australian and Indian English and of general slang.
+INSULTS += """
+numpty tosser wally muppet plonker pillock prat bellend knobhead twit nitwit dunce dolt dullard oaf buffoon blockhead numbskull knucklehead airhead bonehead cretinous simpleton ignoramus
+scoundrel lowlife weasel sleazebag sleazeball slimeball dirtbag douche shithole pisshead arsewipe asswipe asshat dipshit numbnuts dickwad fuckwit fuckface cocksucker bugger sod wretch wench skank hussy
+drongo bogan dropkick deadbeat freeloader leech crybaby weirdo freak psycho lunatic nutcase nutjob halfwits nitwits dimwits morons cowards freaks weirdos
+huevon boludo pelotudo gilipolla mamon cretino desgraciado sinverguenza malparido cagon baboso
+enfoire bouffon bolosse tocard minable salopard putain raclure
+spasti vollpfosten hornochse dreckskerl mistkerl armleuchter flachzange pfeife knallkopf
+palhaco imprestavel desgracado cretina safado trouxa
+bakwaas nikamma gawaar ghatiya kameeni bevda
+"""
+# What is done or wished to people, as it is folded; matched exactly, as many have ordinary neighbours (drowned, crowned).
+HARM_WORDS = set("kill killed die dies died dead drown drowned drowns hang hanged burn burned burnt burns shoot shot stab stabbed lynch lynched bury buried choke chokes rot rots suffer suffers crushed smash bleed gassed whipped strangle strangled butcher slaughter slaughtered exterminated beaten murdered murder poison poisoned flogged cancer coffin grave ambulance floods collapses".split())
+# Harm that is a threat only where somebody is its object.
+HARM_VERBS = HARM_WORDS | set("end beat hurt break crush cut slap punch destroy finish ruin hunt".split())
+# Words that wish, and words that demand.
+WISHES, DEMANDS = set("hope wish hoping wishing pray praying".split()), set("should must deserve deserves ought needs need".split())
+# People as objects or owners; who threatens and how; what takes a threat back.
+PEOPLE = set("you your yours u ya yourself them they those these people him her his he she everyone lot".split())
+OBJECT_PEOPLE = set("you u ya them him her everyone".split())
+THREATENERS, INTENT = set("i we ill we'll i'll".split()), set("will ll gonna going shall ill we'll i'll".split())
+TAKEN_BACK = set("not never no dont don't won't wouldn't nobody if without from because who".split())
+# Words of contests, in which people are beaten or destroyed without harm.
+CONTEST = set("final finals semifinal game games match matches run runs goal goals point points race team teams series cup league tournament election quiz score wicket wickets innings record season round set sets chess".split())
 # Terms of sexual talk.
 SEXUAL = """
 porn porno pornography xxx xx nude nudes naked boobs tits pussy cock dick horny sexy sex undress escort escorts hookup fetish blowjob
@@ -269,6 +294,25 @@ _ADJECTIVES = set("ugly stupid disgusting rotten pathetic filthy worthless brain
 _FRAME_WORDS = _ADJECTIVES | {"naked", "nude", "boobs", "tits", "porn", "horny", "sexy", "cockroaches", "vermin", "rats", "animals", "undress"}
 
 
+def harm(tokens: list[str], i: int) -> float:
+    """Score of the harm word at ``i`` by what stands around it: a threat to somebody, a wish for somebody, a demand about somebody."""
+    before = tokens[max(0, i - 7) : i]
+    after = tokens[i + 1 : i + 3]
+    if any(x in TAKEN_BACK for x in before[-5:]) or any(x in QUOTING for x in before) or any(x in CONTEST for x in tokens[max(0, i - 4) : i + 9]):
+        return 0.0
+    if any(x in OBJECT_PEOPLE for x in after[:1]) and any(x in THREATENERS for x in before[-4:]) and any(x in INTENT for x in before[-3:]):
+        return 0.9
+    if tokens[i] not in HARM_WORDS:
+        return 0.0
+    for at, x in enumerate(before):
+        if x in WISHES and any(y in PEOPLE for y in before[at + 1 : at + 3]):
+            return 0.85
+        # 'those people should all be drowned': somebody close before the demand, the harm close after it
+        if x in DEMANDS and any(y in PEOPLE for y in before[max(0, at - 2) : at]) and (len(before) - at <= 4) and ("be" in before[at + 1 :] or "to" in before[at + 1 :] or len(before) - at == 1):
+            return 0.8
+    return 0.0
+
+
 class Scorer:
     """Scores a text for abuse; made once for each Python worker."""
 
@@ -385,6 +429,11 @@ class Scorer:
                 s -= QUOTE
             evidence.append(term)
             best = max(best, s)
+        if not HARM_VERBS.isdisjoint(tokens):
+            for i, w in enumerate(tokens):
+                if w in HARM_VERBS and (s := harm(tokens, i)) > best:
+                    best = s
+                    evidence.append(w)
         joined = " ".join(tokens)
         for k in sorted({k for _, ks in self.frames.iter(joined) for k in ks}):
             frame, s = FRAME_RES[k]
