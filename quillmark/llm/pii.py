@@ -1,7 +1,8 @@
 """Problem 7: personal information inside free text.
 
 Method: regular expressions propose spans, checksums (Luhn, mod 97, Verhoeff)
-confirm numbers, and the words around a span raise or lower its score.
+confirm numbers, and the words around a span raise or lower its score. Names are
+proposed by what introduces them, or as two capitalised words, which need context.
 """
 
 from __future__ import annotations
@@ -87,6 +88,13 @@ NOT_NAMES = set(
     "los las el la un una les le des du de der die das ein eine os as o "
     "para por con sin que qui quoi pas bien très sehr nicht".split()
 )
+# Who a name may follow, what is handed to people, and what people do; by language.
+KIN = _near("friend|uncle|aunt|auntie|brother|sister|neighbour|neighbor|cousin|teacher|nurse|mother|father|son|daughter|wife|husband|colleague|landlord|tenant|classmate|amigo|amiga|vecino|vecina|hermano|hermana|tío|tía|primo|prima|ami|amie|voisin|voisine|frère|sœur|oncle|tante|freund|freundin|nachbar|nachbarin|bruder|schwester|onkel|vizinho|vizinha|irmão|irmã|tio|tia|dost|bhai|behen|chacha|anna|akka|thambi")
+HANDED = _near("(?:give|gave|hand|handed|pay|paid|send|sent|deliver|delivered|return|returned|owe|owed|belongs?|lent|write|wrote)(?: (?!to )[a-zà-ÿ]+){0,3} to|(?:accompanied|signed|treated|interviewed|married) (?:by|to)")
+# Second words of places and bodies that are written like names.
+BODIES = set("park road street lane avenue school college university hospital clinic station temple church mosque market mall square bridge lake river beach hill hills hall court council office board bank club party department ministry police government committee minister union news times post line metro city town village ward nadu pradesh district county state states airport hotel museum library association foundation trust limited ltd company festival league cup".split())
+DOES = re.compile(r"\s+(?:will (?:collect|come|call|pay|bring|pick|be there|meet|send)|said|says|told|saw|called|phoned|lives|lived|works|signed|wrote|paid|married|died|was born|is my|was my|from (?:flat|house|room|number))(?!\w)", re.I)
+PAIR = re.compile(r"(?<![\w#@.'’-])([^\W\d_a-z][^\W\d_A-Z'’-]{2,24}) ([^\W\d_a-z][^\W\d_A-Z'’-]{2,24})(?![\w'’-])")
 PLACE_END = re.compile(r"(?:nagar|patti|pettai|malai|gram|kulam|thurai|vadi|puram|kadu|ville|burg|town|city|stadt)\Z", re.I)
 MASKED = re.compile(r"\[(?:EMAIL|PHONE|ID|ADDRESS|NAME)\]|@[\w.]+(?=\s|$)|https?://\S+|www\.\S+")
 
@@ -207,6 +215,8 @@ def spans(text: str) -> list[tuple[int, int, str, float]]:
             # A name may be written small; the frame carries it then.
             if not usual and free(*m.span("n")):
                 add(*m.span("n"), "NAME", 0.8)
+    for m in PAIR.finditer(plain):
+        add(*m.span(), "NAME", _name(plain, m))
     if back:
         found = [(back[a], back[b], k, s) for a, b, k, s in found]
     return sorted(found)
@@ -277,6 +287,27 @@ def _context(plain: str, m: re.Match, words: re.Pattern, left: int = 32, right:
     return 0.25 if near and near.start() < stop else 0.0
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _name(plain: str, m: re.Match) -> float:
+    """Score of two capitalised words as a person's name, by who stands before them and what they do."""
+    if any(not p[0].isupper() or p.lower() in NOT_NAMES or PLACE_END.search(p) for p in m.groups()):
+        return 0.0
+    if m.group(2).lower() in BODIES:
+        return 0.0
+    words = _WORDS.findall(plain)
+    if sum(w[0].isupper() for w in words) > 0.3 * len(words) + 1:  # a text of capitals says nothing
+        return 0.0
+    start = max((plain.rfind(c, 0, m.start()) for c in ".!?\n"), default=-1) + 1
+    before = plain[max(start, m.start() - 40) : m.start()]
+    near = before.rstrip().rsplit(maxsplit=1)[-1:] or [""]
+    kin = KIN.fullmatch(near[0].strip(",")) is not None
+    handed = any(h.end() >= len(before) - 1 for h in HANDED.finditer(before))
+    does = DOES.match(plain, m.end()) is not None
+    return 0.2 + 0.4 * kin + 0.4 * handed + 0.35 * does
+
+
 def _number(plain: str, m: re.Match) -> tuple[str, float]:
     """Type and score of a run of digits."""
     raw = m.group()

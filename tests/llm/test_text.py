@@ -251,3 +251,14 @@ def test_pairs_of_a_split_class(spark, monkeypatch):
     monkeypatch.setattr(lookalike, "AT_ONCE", 7)
     got = [tuple(r) for r in lookalike.same_look_pairs(df).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("text,bad", [("you absolute numpty, shut up", True), ("what a wally you are", True), ("hope your house floods, you deserve it", True), ("those people should all be drowned", True), ("I will end you tonight", True), ("we will beat them in the final by ten runs", False), ("I hope the drain gets fixed before somebody dies", False), ("you should not be beaten", False), ("they should be told that people die here", False), ("I hope you feel better soon", False)])
+def test_harm_by_context(text, bad):
+    assert (abuse.Scorer().score(text)[0] >= abuse.LEAST) is bad
+
+
+@pytest.mark.parametrize("text,name", [("please give this to Rajesh Kumar", "Rajesh Kumar"), ("my friend Priya Nair saw it", "Priya Nair"), ("Anna Lindt will collect it tomorrow", "Anna Lindt"), ("mi vecino Juan Pérez llegó tarde", "Juan Pérez"), ("The Town Council said no", None), ("we met near Green Park yesterday", None), ("deliver it to Green Park", None), ("Please Give This To The Night Shift Today", None)])
+def test_names_by_context(text, name):
+    found = [text[a:b] for a, b, k, _ in pii.spans(text) if k == "NAME"]
+    assert found == ([name] if name else [])
