@@ -30,7 +30,15 @@ duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu
 excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
 vestibulum tincidunt mauris suspendisse egestas turpis fermentum placerat praesent velit nullam aliquam quisque consequat
 pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas
-ipsum lorem dolorat velorem sitamen consequi praesenti mauris tincida vestibor fermenta placenta quisquor nullandi turpisse aliquando egestor suspira
+sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo
+nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit sed quia consequuntur magni dolores eos qui ratione voluptatem sequi nesciunt neque porro quisquam est qui dolorem ipsum quia dolor sit amet
+at vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque corrupti quos dolores et quas molestias excepturi sint occaecati cupiditate non provident similique
+curabitur pretium tincidunt lacus nulla gravida orci a odio nullam varius turpis et commodo pharetra est eros bibendum elit nec luctus magna felis sollicitudin mauris integer in mauris eu nibh euismod gravida
+duis ac tellus et risus vulputate vehicula donec lobortis risus a elit etiam tempor ut ullamcorper ligula eu tempor congue eros est euismod turpis id tincidunt sapien risus a quam maecenas fermentum consequat mi
+donec fermentum pellentesque malesuada nulla a mi duis sapien sem aliquet nec commodo eget consequat quis neque aliquam faucibus elit ut dictum aliquet felis nisl adipiscing sapien sed malesuada diam lacus eget erat
+cras mollis scelerisque nunc nullam arcu aliquam consequat curabitur augue lorem dapibus quis laoreet et pretium ac nisi aenean magna nisl mollis quis molestie eu feugiat in orci in hac habitasse platea dictumst
+fusce convallis mauris imperdiet gravida bibendum nisl turpis suscipit mauris sed placerat ipsum urna sed risus in convallis tellus a mauris curabitur non elit ut libero tristique sodales mauris a lacus
+phasellus ultrices nulla quis nibh quisque a lectus donec consectetuer ligula vulputate sem tristique cursus nam nulla quam gravida non commodo a sodales sit amet nisi
 sample text sample text sample text
 this is a sample paragraph
 your headline here
@@ -107,6 +115,10 @@ page not found
 the requested url was not found on this server
 sorry nothing lives at this address any more
 this page does not exist
+oops that page can t be found
+it looks like nothing was found at this location
+nothing was found here try a search
+we can t find the page you are looking for
 the page you are looking for has moved or no longer exists
 500 internal server error
 internal error request
