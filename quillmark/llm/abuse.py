@@ -215,9 +215,9 @@ def fold(word: str) -> str:
 class Lexicon:
     """A trie of terms, walked together with the Levenshtein automaton of a word.
 
-    A node of the walk is a trie node and the automaton's state, which is the row
-    of edit distances between the word and the prefix; a branch ends where the
-    least distance of its row is beyond the limit.
+    A node of the walk is a trie node and the automaton's state: for each number of
+    edits the prefixes of the word that are reached, as the bits of one integer, so
+    a letter of the trie is a few shifts. A branch ends where no prefix is left.
     """
 
     def __init__(self, terms: dict[str, tuple[str, float]]) -> None:
@@ -256,23 +256,33 @@ class Lexicon:
         first = self.root.get(word[0])
         if first is None:  # a change of the first letter makes another word
             return None
-        stack = [(first, [1, *range(len(word))], word[0], list(range(len(word) + 1)))]
+        n = len(word)
+        whole, end = (1 << (n + 1)) - 1, 1 << n
+        at: dict[str, int] = {}  # letter -> lengths of the word's prefixes that end with it
+        for i, c in enumerate(word, 1):
+            at[c] = at.get(c, 0) | 1 << i
+        # State: for 0, 1, 2 edits the lengths of the word's prefixes reached with at most so many, as bits; and the state before.
+        stack = [(first, (2, 7 & whole, 15 & whole), word[0], (1, 3 & whole, 7 & whole))]
         while stack:
-            node, row, last, before = stack.pop()
+            node, (r0, r1, r2), last, (b0, b1, _) = stack.pop()
+            turned = at.get(last, 0)
             for c, child in node.items():
                 if c == "":
-                    t = child
-                    if row[-1] <= limit and len(t) >= 4 and (best is None or row[-1] < best[1]) and not _inflected(word, t):
-                        best = t, row[-1]
+                    distance = 0 if r0 & end else 1 if r1 & end else 2 if limit == 2 and r2 & end else 3
+                    if distance <= limit and len(child) >= 4 and (best is None or distance < best[1]) and not _inflected(word, child):
+                        best = child, distance
+                    continue
+                m = at.get(c, 0)
+                swap = turned & m << 1  # the word has these two letters the other way round
+                n0 = r0 << 1 & m
+                n1 = (r1 << 1 & m | r0 | r0 << 1 | n0 << 1 | b0 << 2 & swap) & whole
+                if limit == 1:
+                    if n1:
+                        stack.append((child, (n0, n1, 0), c, (r0, r1, r2)))
                     continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    cost = min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c))
-                    if before is not None and i and w == last and word[i - 1] == c:
-                        cost = min(cost, before[i - 1] + 1)
-                    new.append(cost)
-                if min(new) <= limit:
-                    stack.append((child, new, c, row))
+                n2 = (r2 << 1 & m | r1 | r1 << 1 | n1 << 1 | b1 << 2 & swap) & whole
+                if n2:
+                    stack.append((child, (n0, n1, n2), c, (r0, r1, r2)))
         return best
 
 
