@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.timeseries import running_sum
 from quillmark.plans.base import DETAILS, POSTS, details, posts, query
 from quillmark.sources.tables import table
 
@@ -56,9 +57,8 @@ def author_network_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS UNBOUNDED PRECEDING), 4) AS spent, sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS UNBOUNDED PRECEDING) >= 500.001::DOUBLE AS exhausted FROM events""")
 def spend_running(spark: SparkSession, d: str) -> DataFrame:
     """Running spending of each key and whether its credit is used up."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp")), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    s = F.sum("value").over(w)
-    return table(spark, d, "events").select("event_id", F.round(s, 4).alias("spent"), (s >= 500.001).alias("exhausted"))
+    e = running_sum(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], "ts", "event_id", "value", "s")
+    return e.select("event_id", F.round("s", 4).alias("spent"), (F.col("s") >= 500.001).alias("exhausted"))
 
 
 _SCRIPT = "length(regexp_replace(text, '[^\\x{{{0}}}-\\x{{{1}}}]', '', 'g'))"

@@ -9,7 +9,7 @@ from quillmark.operators.gazetteer import entities
 from quillmark.operators.latest import latest_by, latest_wide, sieve, sifted
 from quillmark.operators.merge import last_write_wins, newest, reuse
 from quillmark.operators.similarity import communities, nearest_centroid, pairs_above
-from quillmark.operators.timeseries import as_of, trailing_count, view_rate
+from quillmark.operators.timeseries import as_of, running_sum, trailing_count, view_rate
 from quillmark.plans.audience import segments
 from quillmark.plans.decision_views import estimate_groups, estimate_totals, segment_groups, segment_totals
 from quillmark.plans.graph import reply_edges_of
@@ -80,6 +80,23 @@ def test_trailing(spark):
     assert sorted(r.n for r in trailing_count(df, ["k"], "t", 60, "n").collect()) == [1, 1, 2, 2]
 
 
+def test_slices_of_time(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("aab"), T0 + timedelta(seconds=rng.randrange(400_000)), i, float(rng.randrange(9))) for i in range(700)] + [("a", None, 1000, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, id int, v double")
+    got = {r.id: r.n for r in trailing_count(df, ["k"], "t", 1800, "n").collect()}
+    assert got == {i: sum(k2 == k and (t2 is None if t is None else t2 is not None and timedelta(0) <= t - t2 < timedelta(seconds=1800)) for k2, t2, _, _ in rows) for k, t, i, _ in rows}
+    sums = {r.id: r.s for r in running_sum(df.filter("t is not null"), ["k"], "t", "id", "v", "s").collect()}
+    assert all(abs(sums[i] - sum(v2 for k2, t2, i2, v2 in rows if t2 and k2 == k and (t2, i2) <= (t, i))) < 1e-9 for k, t, i, _ in rows if t)
+    left = df.select("k", "t", "id")
+    right = spark.createDataFrame([(rng.choice("abc"), T0 + timedelta(seconds=rng.randrange(400_000)), i) for i in range(90)], "k string, at timestamp, n int")
+    seen = [(r.k, r["at"], r.n) for r in right.collect()]
+    got = {r.id: r.prior_n for r in as_of(left, right, "k", "t", "at", ["n"], "1 hour").collect()}
+    for k, t, i, _ in rows:
+        old = [(a, n) for k2, a, n in seen if t and k2 == k and a + timedelta(hours=1) <= t]
+        assert got[i] == (max(old)[1] if old else None)
+
+
 def test_merge(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(2, "z")], "k int, v string")
