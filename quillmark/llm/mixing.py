@@ -31,6 +31,8 @@ def encoder(path: str):
     if path not in _ENCODERS:
         import tiktoken
 
+        if not Path(path).is_file():
+            raise FileNotFoundError(f"no tokenizer at {path}: name one that every executor can read by the option spark.quillmark.tokenizer or the parameter")
         lines = Path(path).read_bytes().splitlines()
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
         _ENCODERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -90,13 +92,15 @@ def rake(tokens: np.ndarray, axes: list[np.ndarray], shares: list[np.ndarray], c
 MOST_TARGETS = 10_000
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", column: str = "text", tokenizer: str = TOKENIZER, seed: int = 7) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", column: str = "text", tokenizer: str | None = None, seed: int = 7) -> DataFrame:
     """Documents to use, with ``source``, ``n_tokens`` and ``uses`` (1..max_repeats).
 
     ``targets`` holds source, target_share and max_repeats; shares are scaled to
     sum to 1. The size of the mix is the largest at which no source needs more
     than max_repeats uses of its tokens, so shares are met in full. Sources
-    without a target, null sources and documents without tokens are left out. The
+    without a target, null sources and documents without tokens are left out. A
+    target source without documents can't be met: its share goes to the others in
+    proportion, and ``reached_shares`` lists it with a share of 0. The
     language and kind marginals aim at what the sources hold together, as far as
     the source shares and caps allow.
 
@@ -105,6 +109,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", column
     documents of a stratum at most, and a source of any size is spread over tasks.
     """
     spark = documents.sparkSession
+    tokenizer = tokenizer or spark.conf.get("spark.quillmark.tokenizer", TOKENIZER)
     kind = F.coalesce(F.lower(F.trim("content_kind")), F.lit("")) if "content_kind" in documents.columns else F.lit("")
     base = documents.select(F.col(key), source_name(F.col("source")).alias("source"), language_name(F.col("lang")).alias("lang"), kind.alias("kind"), column)
     wanted = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().limit(MOST_TARGETS + 1).collect()
