@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.llm.clusters import Limits, grow
 from quillmark.llm.vectors import matrix, passes, representatives, slices, small, unpacked
 from quillmark.operators.components import connected_components
 from quillmark.session import discard, materialise, ship_package
@@ -237,19 +238,44 @@ def similar_pairs(reps: DataFrame, vectors: DataFrame, h: Hashing, size: int, le
     return pairs.unionAll(exact_pairs(hot, reps.select("rid", "vec"), least, k)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def neighbours(vectors: DataFrame, heads: DataFrame, *, k: int = 10, least: float = 0.8, size: int = 384, hashing: Hashing | None = None) -> DataFrame:
+def leaf_pairs(reps: DataFrame, size: int, k: int) -> DataFrame:
+    """Pairs (a < b, similarity): of each representative its ``k`` most similar ones in its leaf of a bisecting k-means tree, compared exactly.
+
+    Below the floor of the tables hashing can't tell near from far without looking
+    at nearly everything; the leaves hold what lies in one direction.
+    """
+    spark = reps.sparkSession
+    limits = Limits()
+    models = sorted(r[0] for r in reps.select("model").distinct().collect())
+    tree = grow(reps, models, size, limits)
+    shared = spark.sparkContext.broadcast(tree)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf = shared.value.leaf_of(np.array(b.column(1).to_pylist()), matrix(b.column(2))) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(leaf, np.int64)), b.column(0)], names=["grp", "rid"])
+
+    members = materialise(reps.select("rid", "model", "vec").mapInArrow(place, "grp bigint, rid bigint"), "leaf-members")
+    return exact_pairs(members, reps.select("rid", "vec"), -1.0, k)
+
+
+def neighbours(vectors: DataFrame, heads: DataFrame, *, k: int = 10, least: float = 0.8, size: int = 384, hashing: Hashing | None = None, fill: bool = False) -> DataFrame:
     """For each post its ``k`` most similar posts of the same model: ``key``, ``neighbour``, ``similarity``, ``rank``.
 
-    Only neighbours of similarity ``least`` or more are searched for; that floor
-    is what the tables are tuned to. Ties in similarity go to the smaller key.
-    Posts with the same vector are hashed once; each of them gets its own list,
-    made from the first k + 1 members of each group, which is exact for the top k.
-    Posts without such a neighbour have no row.
+    Neighbours of similarity ``least`` or more are searched for by hashing; that
+    floor is what the tables are tuned to. With ``fill`` the lists are filled with
+    less similar ones by ``leaf_pairs``; without, posts that have no neighbour above
+    the floor have no row. Ties in similarity go to the smaller key. Posts with the
+    same vector are hashed once; each of them gets its own list, made from the
+    first k + 1 members of each group, which is exact for the top k.
     """
     ship_package(vectors.sparkSession)
     h = hashing or Hashing()
     reps, members = representatives(vectors, heads)
-    pairs = materialise(similar_pairs(reps, vectors, h, size, least, k + 1), "similar-pairs")
+    pairs = similar_pairs(reps, vectors, h, size, least, k + 1)
+    if fill:
+        pairs = pairs.unionAll(leaf_pairs(reps, size, k + 1)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    pairs = materialise(pairs, "similar-pairs")
     by_key = Window.partitionBy("rep").orderBy("key")
     first = members.withColumn("n", F.row_number().over(by_key)).filter(F.col("n") <= k + 1).select("rep", "key")
     way = pairs.select(F.col("a").alias("q"), F.col("b").alias("rep"), "similarity").unionAll(pairs.select(F.col("b").alias("q"), F.col("a").alias("rep"), "similarity"))

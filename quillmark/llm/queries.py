@@ -15,15 +15,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    n = p1_neighbours(spark, d)
-    return n.select(F.least("post_id", "neighbour_id").alias("post_id_a"), F.greatest("post_id", "neighbour_id").alias("post_id_b")).distinct()
+    from quillmark.llm.neighbours import neighbours
+    from quillmark.llm.vectors import usable_vectors
+
+    n = neighbours(*usable_vectors(table(spark, d, "argus_post_details")))
+    return n.select(F.least("key", "neighbour").alias("post_id_a"), F.greatest("key", "neighbour").alias("post_id_b")).distinct()
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.neighbours import neighbours
     from quillmark.llm.vectors import usable_vectors
 
-    found = neighbours(*usable_vectors(table(spark, d, "argus_post_details")))
+    found = neighbours(*usable_vectors(table(spark, d, "argus_post_details")), fill=True)
     return found.withColumnsRenamed({"key": "post_id", "neighbour": "neighbour_id"})
 
 

@@ -138,3 +138,38 @@ def test_clusters_joined_through_untypical_members(spark):
 def test_clusters_empty(spark):
     v, h = vectors.usable_vectors(table(spark, [[1.0] * SIZE]).limit(0), size=SIZE, extra="topic")
     assert clusters.clusters(v, h, size=SIZE).count() == 0
+
+
+def test_lists_are_filled_below_the_floor(spark):
+    rng = np.random.default_rng(8)
+    centres = np.linalg.qr(rng.standard_normal((SIZE, 4)))[0].T
+    x = np.concatenate([c + 0.12 * rng.standard_normal((60, SIZE)) for c in centres])
+    v, h = vectors.usable_vectors(table(spark, x), size=SIZE)
+    got = {}
+    for r in neighbours.neighbours(v, h, k=5, size=SIZE, fill=True).collect():
+        got.setdefault(int(r.key[1:]), {})[int(r.neighbour[1:])] = r.similarity
+    assert len(got) == len(x) and all(len(n) == 5 for n in got.values())
+    n = x / np.linalg.norm(x, axis=1)[:, None]
+    s = n @ n.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, 1)[:, :5]
+    assert sum(j in got[i] for i in range(len(x)) for j in want[i]) >= 0.9 * want.size
+    assert all(abs(s[i, j] - z) < 1e-3 for i in got for j, z in got[i].items())
+
+
+def test_tables_too_large_to_broadcast(spark, monkeypatch):
+    """The same rows where every join is a shuffle."""
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.standard_normal((SIZE, 6)))[0].T
+    x = np.concatenate([c + 0.05 * rng.standard_normal((12, SIZE)) for c in centres] + [rng.standard_normal((8, SIZE)), np.ones((3, SIZE))])
+    v, h = vectors.usable_vectors(table(spark, x), size=SIZE, extra="topic")
+    near = lambda: {(r.key, r.neighbour) for r in neighbours.neighbours(v, h, k=3, size=SIZE).collect()}
+    sets = lambda: {(r.key, r.cluster) for r in clusters.clusters(v, h, size=SIZE).collect()}
+    want = near(), sets()
+    monkeypatch.setattr(vectors, "BROADCAST_ROWS", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert (near(), sets()) == want and want[0] and want[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
