@@ -14,6 +14,13 @@ ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM ik)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
+P8_LEAKED_ITEMS = P8_FOUND.split("dg AS")[0] + r"""
+dg AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM dk),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM ik),
+m AS (SELECT item_id, doc_id, count(DISTINCT k) + 11 AS n FROM dg JOIN ig USING (g) GROUP BY 1, 2)
+SELECT item_id, count(*) AS documents, max(n) AS longest_words FROM m GROUP BY item_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": P8_FOUND}
+    return {"p8_found": P8_FOUND, "p8_leaked_items": P8_LEAKED_ITEMS}
