@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     shuffles on the node; groups are only reduced by ``min``, so a hub of any
     degree is handled by partial aggregation and a join. Self-loops and repeated
     edges are allowed, rows with a null end are left out, and an empty table
-    gives an empty result.
+    gives an empty result. Rounds are logarithmic in the longest path; should
+    ``most_rounds`` not be enough, that is an error.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     nodes = cut(e.select(F.explode(F.array("u", "v")).alias("node")).distinct())
@@ -38,6 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds; allow more")
     roots = e.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("component", "node").alias("component"))
 
