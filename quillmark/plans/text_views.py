@@ -58,7 +58,10 @@ def author_pseudonym(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id").distinct().select("user_id", T.pseudonym("salt", F.col("user_id").cast("string")).alias("pseudonym"))
 
 
-@query()
+_PADS = ["".join(f"\\x{b:02X}" for b in bytes(x ^ pad for x in b"salt".ljust(64, b"\0"))) for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT DISTINCT user_id, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(CAST(user_id AS VARCHAR))))) AS pseudonym FROM events")
 def author_hmac(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id").distinct().select("user_id", T.hmac_sha256(b"salt", F.col("user_id").cast("string")).alias("pseudonym"))
 
