@@ -446,7 +446,8 @@ def label_faults(found: DataFrame, info: DataFrame, key: str = "post_id") -> Dat
     have none.
     """
     known = found.filter("lang is not null")
-    own = info.select(F.col(key), iso(F.col("primary_lang")).alias("said"), "is_code_mixed").dropDuplicates([key])
+    # One row for each post; should there be several, the greatest counts, so that the result is always the same.
+    own = info.groupBy(key).agg(F.max(F.struct(iso(F.col("primary_lang")).alias("said"), "is_code_mixed")).alias("own")).select(key, "own.said", "own.is_code_mixed")
     hint = known.filter("not (label_code <=> lang)").select(key, F.lit("lang_hint").alias("field_name"), "lang")
     both = known.join(own, key)
     primary = both.filter("not (said <=> lang)").select(key, F.lit("primary_lang").alias("field_name"), "lang")
