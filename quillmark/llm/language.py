@@ -103,27 +103,25 @@ def code(label: str | None) -> str | None:
 
 _SKIP = re.compile(r"https?://\S+|www\.\S+|\S*@\S+|[#@][\w.]+|\[[A-Z]+\]")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏॢॣஂா-்ௗ'’‌‍])*")
-_PLACE = re.compile(r".{3,}(?:nagar|patti|pettai|malai|gram|kulam|thurai|vadi|puram|kadu|pur|abad|ville|burg|stadt)\Z")
 _ANY_DIGIT = re.compile(r"\d")
 _MANY = re.compile(r"([^\W\d_])\1{2,}")
 _REWRITER: list[Rewriter] = []
 
 
 def _folded(word: str) -> str:
-    """A word as the model knows it: look-alikes equal, lower case, drawn-out letters once; empty for place names."""
+    """A word as the model knows it: look-alikes equal, lower case, drawn-out letters once."""
     if not word.isascii():
         if not _REWRITER:
             _REWRITER.append(Rewriter(classes({chr(i): 1000 for i in range(32, 127)} | {chr(i): 1 for i in range(0xFF01, 0xFF5F)})))
         word = _REWRITER[0](word)
-    w = _MANY.sub(r"\1", word.lower().strip("'’"))
-    return "" if _PLACE.match(w) else w
+    return _MANY.sub(r"\1", word.lower().strip("'’"))
 
 
 _FOLDED: dict[str, str] = {}
 
 
 def words(text: str) -> list[tuple[int, int, str]]:
-    """Words that tell a language: (start, end, folded word). Links, tags, personal data, numbers and place names are left out."""
+    """Words that tell a language: (start, end, folded word). Links, tags, personal data and numbers are left out."""
     banned = [m.span() for m in _SKIP.finditer(text)] if "@" in text or "#" in text or "/" in text or "[" in text or "www." in text else []
     banned += [(a, b) for a, b, _, _ in spans(text)]
     digits = _ANY_DIGIT.search(text) is not None
