@@ -37,6 +37,15 @@ def mention_anonymise(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).filter(F.contains("original_text", F.lit("@"))).select("post_id", T.anonymised(F.col("original_text")).alias("anonymised"))
 
 
+_V1_ID = "regexp_replace(regexp_replace(original_text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\\b\\d{4}[ -]?\\d{4}[ -]?\\d{4}\\b', '[ID]', 'g')"
+
+
+@query(f"WITH {POSTS} SELECT post_id, regexp_replace({_V1_ID}, '(^|[^A-Za-z0-9_])\\+?\\d[\\d ()-]{{8,}}\\d($|[^A-Za-z0-9_])', '\\1[PHONE]\\2', 'g') AS redacted FROM p WHERE original_text IS NOT NULL")
+def pii_redact_v1(spark: SparkSession, d: str) -> DataFrame:
+    """All three placeholders of the first rule set, in its order."""
+    return posts(spark, d).filter("original_text is not null").select("post_id", T.redact_v1(F.col("original_text")).alias("redacted"))
+
+
 @query()
 def pii_redact_counts(spark: SparkSession, d: str) -> DataFrame:
     """Redaction with counts by class; both rule sets."""
