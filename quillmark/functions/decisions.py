@@ -162,30 +162,35 @@ def detected_language(c: Column, guess: Column, guess_sure: Column) -> dict[str,
     """
     t = F.trim(c)
     letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
-    n = {s: F.regexp_count(t, F.lit(f"[\\p{{Is{s}}}&&\\p{{L}}]")) for s in SCRIPTS}
     latin = F.regexp_count(t, F.lit(r"[\p{IsLatin}&&\p{L}]"))
-    most = F.greatest(*n.values())
-    of_script = None
-    for s, code in SCRIPTS.items():
-        of_script = F.when(n[s] == most, code) if of_script is None else of_script.when(n[s] == most, code)
-    share = F.try_divide(most.cast("double"), letters.cast("double"))
     hits, ratio, tokens = T.english_evidence(t)
-    only = T.distinctive_hits(t)
+    facts = F.struct(t.alias("t"), letters.alias("letters"), latin.alias("latin"), hits.alias("hits"), ratio.alias("ratio"), tokens.alias("tokens"), T.distinctive_hits(t).alias("only"), guess.alias("guess"), F.coalesce(guess_sure, F.lit(0.0)).alias("sure"))
+    # Bound once, so that no text is searched twice; the scripts are only counted where there are letters that are not Latin.
+    told = F.transform(F.array(facts), lambda x: F.struct(x.alias("x"), F.when(x["letters"] > x["latin"], F.array(*[F.regexp_count(x["t"], F.lit(f"[\\p{{Is{s}}}&&\\p{{L}}]")) for s in SCRIPTS])).otherwise(F.array_repeat(F.lit(0), len(SCRIPTS))).alias("n")))
+    out = F.transform(told, lambda y: _told(y["x"], y["n"]))[0]
+    return {k: out[k] for k in ("primary_lang", "lang_confidence", "is_code_mixed")}
+
+
+def _told(x: Column, n: Column) -> Column:
+    t, letters, latin, guess, sure, only = (x[k] for k in ("t", "letters", "latin", "guess", "sure", "only"))
+    most = F.array_max(n)
+    of_script = F.element_at(F.array(*map(F.lit, SCRIPTS.values())), F.array_position(n, most).cast("int"))
+    share = F.try_divide(most.cast("double"), letters.cast("double"))
     fragment = F.length(t) < 8
     by_script = ~fragment & (share >= 0.5)
-    sure = F.coalesce(guess_sure, F.lit(0.0))
     none = guess.isNull() | (sure <= 0)
-    rescued = ((guess == "en") & ((hits >= 2) & (ratio >= 0.18) | (hits >= 1) & (tokens <= 8)) | (only >= 2)) & (most == 0)
+    rescued = ((guess == "en") & ((x["hits"] >= 2) & (x["ratio"] >= 0.18) | (x["hits"] >= 1) & (x["tokens"] <= 8)) | (only >= 2)) & (most == 0)
     lang = (
         F.when(letters == 0, "und").when(fragment, F.when((only >= 1) & (latin > 0) & (most == 0), "en").otherwise("und"))
         .when(by_script, of_script).when(none, "und").when(rescued, "en").otherwise(guess)
     )
+    small = F.when((only >= 1) & (latin > 0) & (most == 0), 0.6).otherwise(0.0)
     confidence = (
-        F.when(letters == 0, 0.0).when(fragment, F.when(lang == "en", 0.6).otherwise(0.0))
+        F.when(letters == 0, 0.0).when(fragment, small)
         .when(by_script, F.round(F.least(F.lit(0.99), 0.6 + 0.4 * share), 4)).when(none, 0.0).when(rescued, F.greatest(sure, F.lit(0.8))).otherwise(sure)
     )
     mixed = (
         F.when((letters == 0) | fragment, False).when(by_script, (share < 0.9) & (latin > 2)).when(none | rescued, False)
         .otherwise((guess != "en") & (sure < 0.7) & (latin > 0) | (latin > 2) & (most > 0))
     )
-    return {"primary_lang": lang, "lang_confidence": confidence, "is_code_mixed": F.coalesce(mixed, F.lit(False))}
+    return F.struct(lang.alias("primary_lang"), confidence.alias("lang_confidence"), F.coalesce(mixed, F.lit(False)).alias("is_code_mixed"))
