@@ -33,6 +33,19 @@ def unit(a: Column) -> Column:
     return F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))[0]
 
 
+def exact_mean(c: Column, n: Column, digits: int) -> Column:
+    """Aggregate: the sum of ``c`` over ``n``, rounded half away from zero, the same in whatever order the rows come.
+
+    Sums of doubles depend on their order, so the mean of short decimals that ends
+    in a 5 falls to either side. Here they are summed and divided as decimals of 18
+    places. Only where a value isn't finite or is beyond 10 digits, doubles are summed.
+    """
+    d = c.try_cast("decimal(28,18)")
+    fits = F.count(d) == F.count(c)
+    exact = F.when(fits, F.try_divide(F.try_sum(d), n.cast("decimal(20,0)")))
+    return F.coalesce(F.round(exact, digits).cast("double"), F.round(F.try_divide(F.sum(c), n.cast("double")), digits))
+
+
 def hours_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(3.6e9)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions import urls
-from quillmark.functions.math import ist
+from quillmark.functions.math import exact_mean, ist
 from quillmark.operators.latest import latest_by
 from quillmark.plans.base import DETAILS, POSTS, details, posts, query
 from quillmark.plans.growth_views import CLUSTERED
@@ -49,7 +49,7 @@ def topic_rollup(spark: SparkSession, d: str) -> DataFrame:
     e = t.filter("source_url is not null").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "source_url"))), lambda x: x["source_url"]), " ").alias("evidence"))
     j = t.join(posts(spark, d).select("post_id", "has_risk", "sentiment_score"), "post_id", "left")
     g = j.groupBy("key").agg(
-        F.count("*").alias("posts"), F.count_if("has_risk").alias("abusive"), F.round(F.sum(F.coalesce("sentiment_score", F.lit(0.0))) / F.count("*"), 6).alias("mean_score"), F.round(F.avg("sentiment_score"), 6).alias("mean_scored"),
+        F.count("*").alias("posts"), F.count_if("has_risk").alias("abusive"), exact_mean(F.coalesce("sentiment_score", F.lit(0.0)), F.count("*"), 6).alias("mean_score"), exact_mean(F.col("sentiment_score"), F.count("sentiment_score"), 6).alias("mean_scored"),
         F.min_by("shown", seq).alias("topic"), F.max_by("topic_source", seq).alias("last_source"),
     )
     return g.join(e, "key", "left").withColumn("place", F.row_number().over(Window.orderBy(F.desc("posts"), "key")))
