@@ -35,7 +35,7 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 def stream_dup_flag(spark: SparkSession, d: str) -> DataFrame:
     """Events flagged as duplicates of an earlier one by user, kind and a digit; none is dropped."""
     key = F.concat_ws(":", "user_id", "event_type", F.get_json_object("props", "$.k").cast("bigint") % 10)
-    return jobs.drain(jobs.flagged(_events(spark, d).withColumn("key", key), "key", "event_id", "ts"), "append")
+    return jobs.flagged(_events(spark, d).withColumn("key", key), "key", "event_id", "ts")
 
 
 @query("SELECT event_id, round(sum(coalesce(value, 0)) OVER w, 4) AS spent, sum(coalesce(value, 0)) OVER w >= 500.001::DOUBLE AS exhausted FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")

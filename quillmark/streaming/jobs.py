@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,21 +29,22 @@ def stream(spark: SparkSession, path: str, files_at_once: int = 8) -> DataFrame:
     return df
 
 
-def drain(df: DataFrame, mode: str, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def drain(df: DataFrame, mode: str, merge: Callable[[DataFrame], DataFrame] | None = None, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all that is there and read its result.
 
     Each batch is written with its number, so a batch that is run again after a
-    failure replaces its own output. ``merge`` reduces what several batches wrote.
+    failure replaces its own output. ``each`` is applied to every batch before it
+    is written, ``merge`` reduces what several batches wrote.
     """
     spark = df.sparkSession
     root = f"{checkpoint_dir(spark)}/quillmark/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/n={number}")
+        (each(batch) if each else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/n={number}")
 
     q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    schema = df.withColumn("batch", F.lit(0)).schema
+    schema = (each(df) if each else df).withColumn("batch", F.lit(0)).schema
     out = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
     return merge(out).drop("batch") if merge else out.drop("batch")
 
@@ -150,9 +151,22 @@ def stateful(events: DataFrame, key: str, time: str, order: list[str], out: str,
 
 
 def flagged(events: DataFrame, key: str, row: str, time: str) -> DataFrame:
-    """``row``, ``is_duplicate``: every row stays; all but the first of its key are flagged, across batches."""
-    kind = dict(events.dtypes)[row]
-    return stateful(events.select(key, row, time), key, time, [row], f"{row} {kind}, is_duplicate boolean", "seen boolean", lambda s, r: ((True,), {row: r[row], "is_duplicate": s is not None}))
+    """``row``, ``is_duplicate``: every row stays; all but the first of its key are flagged, across batches.
+
+    The keys seen so far are the state of a deduplication. It gives one mark for each
+    new key of a batch, which is put before the rows of that key; the row that
+    follows a mark is the first. No Python runs for a key, of which there may be
+    nearly as many as rows.
+    """
+    rows = events.select(F.col(key).alias("key"), F.col(row).alias("row"), F.col(time).alias("at"))
+    marks = rows.select("key").dropDuplicates(["key"]).select("key", F.lit(None).cast(dict(rows.dtypes)["row"]).alias("row"), F.lit(None).cast(dict(rows.dtypes)["at"]).alias("at"), F.lit(True).alias("new"))
+    order = Window.partitionBy("key").orderBy(F.desc("new"), F.col("at").asc_nulls_last(), F.col("row").asc_nulls_last())
+
+    def flag(batch: DataFrame) -> DataFrame:
+        after = batch.withColumn("first", F.coalesce(F.lag("new").over(order), F.lit(False)))
+        return after.filter("not new").select(F.col("row").alias(row), (~F.col("first")).alias("is_duplicate"))
+
+    return drain(rows.withColumn("new", F.lit(False)).unionAll(marks), "append", each=flag)
 
 
 def budgeted(events: DataFrame, key: str, row: str, cost: str, time: str, budget: float) -> DataFrame:
