@@ -2,8 +2,8 @@
 
 Method: multi-probe p-stable hashing. A vector is kept in one bucket of each of
 several tables; it looks into that bucket and into perturbed ones, in the order
-in which they are expected to succeed. Candidates of all tables are merged, thinned
-by a bit sketch and reranked by the similarity of the vectors. Vectors that meet
+in which they are expected to succeed. Candidates are thinned by a bit sketch where
+they meet, merged and reranked by the similarity of the vectors. Vectors that meet
 in crowded buckets are compared exactly instead.
 """
 
@@ -14,6 +14,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.clusters import Limits, grow
-from quillmark.llm.vectors import matrix, passes, representatives, slices, small, unpacked
+from quillmark.llm.vectors import BROADCAST_ROWS, matrix, passes, representatives, slices, small, unpacked
 from quillmark.operators.components import connected_components
-from quillmark.session import discard, materialise, ship_package
+from quillmark.session import discard, free_shuffles, materialise, ship_package
 
 BITS = 512
+#: Vectors times tables up to which the buckets of several tables are joined at once.
+TABLE_ROWS = 8_000
 
 
 @dataclass(frozen=True)
@@ -80,26 +83,28 @@ class Tables:
         self.r = rng.integers(1, 2**62, (self.tables, m), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.sets = perturbations(m, h.probes)
 
-    def keys(self, x: np.ndarray, salt: np.ndarray, probe: bool) -> np.ndarray:
-        """Bucket numbers, shape (rows, tables * (1 or 1 + probes)); the own bucket of a table comes first."""
+    def keys(self, x: np.ndarray, salt: np.ndarray, probe: bool, some: range) -> np.ndarray:
+        """Bucket numbers of some tables, shape (rows, tables, 1 or 1 + probes); the own bucket of a table comes first."""
         m = self.h.functions
-        f = ((x @ self.a + self.b) / self.width).reshape(len(x), self.tables, m)
+        at = slice(some.start * m, some.stop * m)
+        f = ((x @ self.a[:, at] + self.b[at]) / self.width).reshape(len(x), len(some), m)
+        r = self.r[some.start : some.stop]
         whole = np.floor(f)
         with np.errstate(over="ignore"):
-            base = (whole.astype(np.int64).astype(np.uint64) * self.r).sum(2) + salt[:, None]
+            base = (whole.astype(np.int64).astype(np.uint64) * r).sum(2) + salt[:, None]
             if not probe:
-                return base.view(np.int64)
+                return base.view(np.int64)[:, :, None]
             part = f - whole
-            out = np.empty((len(x), self.tables, 1 + len(self.sets)), np.uint64)
+            out = np.empty((len(x), len(some), 1 + len(self.sets)), np.uint64)
             out[:, :, 0] = base
             zero = np.uint64(0)
-            for t in range(self.tables):
+            for t in range(len(some)):
                 border = np.concatenate([part[:, t], 1 - part[:, t]], 1)
                 order = np.argsort(border, 1)
-                step = np.concatenate([zero - self.r[t], self.r[t]])[order]
+                step = np.concatenate([zero - r[t], r[t]])[order]
                 for k, ranks in enumerate(self.sets):
                     out[:, t, k + 1] = base[:, t] + step[:, list(ranks)].sum(1)
-        return out.reshape(len(x), -1).view(np.int64)
+        return out.view(np.int64)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -110,42 +115,72 @@ def _salts(models: list[str]) -> np.ndarray:
     return np.array([zlib.crc32(m.encode()) * 0x9E3779B97F4A7C15 % 2**64 for m in models], np.uint64)
 
 
-def _hashed(reps: DataFrame, h: Hashing, size: int, probe: bool) -> DataFrame:
+def keyed(reps: DataFrame, h: Hashing, size: int, probe: bool) -> DataFrame:
     """(key, rid) of every bucket a vector is kept in, or looks into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tables(h, size)
         for whole in batches:
             for b in slices(whole):
-                k = t.keys(matrix(b.column(2)), _salts(b.column(1).to_pylist()), probe)
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(k)], names=["rid", "keys"])
+                k = t.keys(matrix(b.column(2)), _salts(b.column(1).to_pylist()), probe, range(h.tables))
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(k.reshape(b.num_rows, -1))], names=["rid", "keys"])
 
     return reps.select("rid", "model", "vec").mapInArrow(run, "rid bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "rid")
 
 
-def _met(look: DataFrame, kept: DataFrame) -> DataFrame:
-    """Pairs (a < b) of vectors of which one looks into a bucket of the other."""
-    pairs = look.select("key", F.col("rid").alias("x")).join(kept.select("key", F.col("rid").alias("y")), "key").filter("x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def hashed(reps: DataFrame, h: Hashing, size: int, some: range) -> DataFrame:
+    """``rid``, the signs of ``BITS`` random projections as longs ``s0``.., and of some tables the buckets a vector is ``kept`` in and those it looks into (``look``)."""
+    n = BITS // 64
+    signs = [f"s{i}" for i in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Tables(h, size)
+        a = np.random.default_rng([h.seed, 99]).standard_normal((size, BITS), dtype=np.float32)
+        for whole in batches:
+            for b in slices(whole):
+                x = matrix(b.column(2))
+                bits = np.packbits(x @ a > 0, axis=1).view(np.int64)
+                k = t.keys(x, _salts(b.column(1).to_pylist()), True, some)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(n)), _lists(k[:, :, 0]), _lists(k.reshape(len(x), -1))], names=["rid", *signs, "kept", "look"])
+
+    return reps.select("rid", "model", "vec").mapInArrow(run, "rid bigint, " + "".join(f"{c} bigint, " for c in signs) + "kept array<bigint>, look array<bigint>")
+
 
+def near_pairs(reps: DataFrame, h: Hashing, size: int, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a < b) that meet in a bucket that is not hot and whose sketches are near, and ``(grp, rid)`` of the vectors that meet in hot ones.
 
-def candidates(reps: DataFrame, h: Hashing, size: int) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct candidate pairs (a < b) of the buckets that are not hot, and ``(grp, rid)`` of the vectors that meet in hot ones.
+    The sketches travel to the buckets, one table after the other (of few vectors
+    several at once), so that pairs that only meet are dropped where they meet: their
+    number grows with the density of the vectors, that of what travels doesn't. A
+    pair can come from several tables.
 
     Hot buckets that share a vector are one group, so two vectors that meet in
     several of them are compared once. A group holds the vectors kept in its
     buckets and those that look into them. None where no bucket is hot.
     """
-    kept, look = _hashed(reps, h, size, False), _hashed(reps, h, size, True)
-    hot = materialise(kept.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > h.hot).select("key"), "hot-buckets")
-    if hot.isEmpty():
-        return _met(look, kept).distinct(), None
-    hint = small(hot)
-    cold = _met(look.join(hint, "key", "left_anti"), kept.join(hint, "key", "left_anti")).distinct()
-    held = materialise(kept.join(hint, "key", "left_semi"), "hot-kept")
+    signs = [f"s{i}" for i in range(BITS // 64)]
+    once = max(1, min(h.tables, TABLE_ROWS // max(1, reps.count())))
+    hot = materialise(keyed(reps, h, size, False).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > h.hot).select("key"), "hot-buckets")
+    some = not hot.isEmpty()
+    hint = small(hot) if some else None
+    cold = lambda df: df if hint is None else df.join(hint, "key", "left_anti")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in signs), F.lit(0))
+    x, y = F.col("x.rid"), F.col("y.rid")
+    found = []
+    for t in range(0, h.tables, once):
+        stored = materialise(hashed(reps, h, size, range(t, min(t + once, h.tables))), "hashes")
+        side = lambda c: cold(stored.select(F.explode(c).alias("key"), "rid", *signs))
+        met = side("look").alias("x").join(side("kept").alias("y"), "key").filter((x != y) & (apart <= bit_limit(least)))
+        found.append(materialise(met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "near-pairs"))
+        discard(stored)
+        free_shuffles(reps.sparkSession)
+    near = reduce(DataFrame.unionAll, found)
+    if not some:
+        return near, None
+    held = materialise(keyed(reps, h, size, False).join(hint, "key", "left_semi"), "hot-kept")
     shared = held.join(held.groupBy("rid").agg(F.min("key").alias("a")), "rid").select("a", F.col("key").alias("b")).distinct()
     group = small(materialise(connected_components(shared).select(F.col("node").alias("key"), F.col("component").alias("grp")), "hot-groups"))
-    return cold, materialise(look.join(group, "key").select("grp", "rid").distinct(), "hot-members")
+    return near, materialise(keyed(reps, h, size, True).join(group, "key").select("grp", "rid").distinct(), "hot-members")
 
 
 def exact_pairs(members: DataFrame, vectors: DataFrame, least: float, k: int) -> DataFrame:
@@ -190,49 +225,51 @@ def exact_pairs(members: DataFrame, vectors: DataFrame, least: float, k: int) ->
     return out
 
 
-def sketches(reps: DataFrame, h: Hashing, size: int) -> DataFrame:
-    """Signs of ``BITS`` random projections of each representative, as longs ``s0``.."""
-    n = BITS // 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = np.random.default_rng([h.seed, 99]).standard_normal((size, BITS), dtype=np.float32)
-        for whole in batches:
-            for b in slices(whole):
-                bits = np.packbits(matrix(b.column(1)) @ a > 0, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(n))], names=["rid", *(f"s{i}" for i in range(n))])
-
-    return reps.select("rid", "vec").mapInArrow(run, "rid bigint, " + ", ".join(f"s{i} bigint" for i in range(n)))
-
-
 def bit_limit(similarity: float) -> int:
     """Differing bits of a pair of that similarity, with three standard deviations to spare."""
     p = math.acos(max(-1.0, min(1.0, similarity))) / math.pi
     return min(BITS, math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p))))
 
 
-def similar_pairs(reps: DataFrame, vectors: DataFrame, h: Hashing, size: int, least: float, k: int) -> DataFrame:
-    """Pairs (a < b, similarity) of representatives of at least ``least``, among the candidates; of a hot group the best ``k`` of each row."""
-    n = BITS // 64
-    drawn = materialise(sketches(reps, h, size), "sketches")
-    sk = small(drawn)
-    side = lambda c: sk.select(F.col("rid").alias(c), *(F.col(f"s{i}").alias(f"{c}{i}") for i in range(n)))
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(n)), F.lit(0))
-    cold, hot = candidates(reps, h, size)
-    near = cold.join(side("a"), "a").join(side("b"), "b").filter(apart <= bit_limit(least)).select("a", "b")
-    near = materialise(near, "near-pairs")
-    discard(drawn)
-    involved = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    some = vectors.join(small(involved), "rid", "left_semi")
+def verified(near: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b, similarity) of at least ``least`` among the pairs of ``near``, each once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole):
-                s = np.einsum("ij,ij->i", matrix(b.column(2)).astype(np.float64), matrix(b.column(3)).astype(np.float64))
-                keep = pa.array(s >= least)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.minimum(s, 1.0))], names=["a", "b", "similarity"]).filter(keep)
+    A vector travels once, to the list of all it is to be compared with, and not
+    with every pair; the others come as broadcasts.
+    """
+    lists = materialise(near.groupBy("a").agg(F.collect_set("b").alias("bs")), "near-lists")
+    if (lists.agg(F.sum(F.size("bs"))).first()[0] or 0) <= BROADCAST_ROWS:
+        lists = F.broadcast(lists)
+    rows = materialise(vectors.join(lists.withColumnRenamed("a", "rid"), "rid").select("rid", "vec", "bs"), "near-vectors")
+    free_shuffles(near.sparkSession)
+    out = None
+    for shared in passes(vectors):
 
-    both = near.join(some.select(F.col("rid").alias("a"), F.col("vec").alias("va")), "a").join(some.select(F.col("rid").alias("b"), F.col("vec").alias("vb")), "b")
-    pairs = both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, similarity double")
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            other, packed = shared.value
+            rid = other["rid"]
+            for whole in batches:
+                for b in slices(whole):
+                    own, x, bs = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2)
+                    u, to = np.repeat(np.arange(len(own)), bs.value_lengths().to_numpy()), bs.flatten().to_numpy()
+                    v = np.searchsorted(rid, to)
+                    here = np.flatnonzero((v < len(rid)) & (rid[np.minimum(v, len(rid) - 1)] == to)) if len(rid) else np.zeros(0, np.int64)
+                    for n in range(0, len(here), 8192):
+                        i, j = u[here[n : n + 8192]], v[here[n : n + 8192]]
+                        s = np.einsum("ij,ij->i", x[i].astype(np.float64), unpacked(packed[j]).astype(np.float64))
+                        yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(rid[j]), pa.array(np.minimum(s, 1.0))], names=["a", "b", "similarity"]).filter(pa.array(s >= least))
+
+        found = materialise(rows.mapInArrow(run, "a bigint, b bigint, similarity double"), "verified-pairs")
+        out = found if out is None else out.unionAll(found)
+    discard(rows)
+    assert out is not None
+    return out
+
+
+def similar_pairs(reps: DataFrame, h: Hashing, size: int, least: float, k: int) -> DataFrame:
+    """Pairs (a < b, similarity) of representatives of at least ``least``, among the candidates; of a hot group the best ``k`` of each row."""
+    near, hot = near_pairs(reps, h, size, least)
+    pairs = verified(near, reps.select("rid", "vec"), least)
     if hot is None:
         return pairs
     return pairs.unionAll(exact_pairs(hot, reps.select("rid", "vec"), least, k)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
@@ -272,7 +309,7 @@ def neighbours(vectors: DataFrame, heads: DataFrame, *, k: int = 10, least: floa
     ship_package(vectors.sparkSession)
     h = hashing or Hashing()
     reps, members = representatives(vectors, heads)
-    pairs = similar_pairs(reps, vectors, h, size, least, k + 1)
+    pairs = similar_pairs(reps, h, size, least, k + 1)
     if fill:
         pairs = pairs.unionAll(leaf_pairs(reps, size, k + 1)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     pairs = materialise(pairs, "similar-pairs")

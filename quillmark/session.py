@@ -58,6 +58,16 @@ def discard(*tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of queries that have ended removed.
+
+    Spark does so when the driver's JVM finds that nothing refers to a shuffle any
+    more, which it may not look for in hours; until then each step of a long job
+    adds its files to those of all before.
+    """
+    spark._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on every executor (once for a session)."""
     sc = spark.sparkContext
