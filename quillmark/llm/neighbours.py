@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.clusters import Limits, grow
-from quillmark.llm.vectors import BROADCAST_ROWS, matrix, passes, representatives, slices, small, unpacked
+from quillmark.llm.vectors import BLOCK, BROADCAST_ROWS, matrix, passes, representatives, slices, small, unpacked
 from quillmark.operators.components import connected_components
-from quillmark.session import discard, free_shuffles, materialise, ship_package
+from quillmark.session import discard, materialise, ship_package
 
-BITS = 512
+BITS = 768
 #: Vectors times tables up to which the buckets of several tables are joined at once.
 TABLE_ROWS = 8_000
 
@@ -151,8 +151,7 @@ def near_pairs(reps: DataFrame, h: Hashing, size: int, least: float) -> tuple[Da
 
     The sketches travel to the buckets, one table after the other (of few vectors
     several at once), so that pairs that only meet are dropped where they meet: their
-    number grows with the density of the vectors, that of what travels doesn't. A
-    pair can come from several tables.
+    number grows with the density of the vectors, that of what travels doesn't.
 
     Hot buckets that share a vector are one group, so two vectors that meet in
     several of them are compared once. A group holds the vectors kept in its
@@ -173,8 +172,10 @@ def near_pairs(reps: DataFrame, h: Hashing, size: int, least: float) -> tuple[Da
         met = side("look").alias("x").join(side("kept").alias("y"), "key").filter((x != y) & (apart <= bit_limit(least)))
         found.append(materialise(met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "near-pairs"))
         discard(stored)
-        free_shuffles(reps.sparkSession)
-    near = reduce(DataFrame.unionAll, found)
+    near = found[0]
+    if len(found) > 1:
+        near = materialise(reduce(DataFrame.unionAll, found).distinct(), "near-pairs")
+        discard(*found)
     if not some:
         return near, None
     held = materialise(keyed(reps, h, size, False).join(hint, "key", "left_semi"), "hot-kept")
@@ -232,16 +233,44 @@ def bit_limit(similarity: float) -> int:
 
 
 def verified(near: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b, similarity) of at least ``least`` among the pairs of ``near``, each once.
+    """Pairs (a < b, similarity) of at least ``least`` among the pairs of ``near``.
 
-    A vector travels once, to the list of all it is to be compared with, and not
-    with every pair; the others come as broadcasts.
+    Either both vectors travel to each pair, about as many pairs at a time as there
+    are vectors, or every vector is brought its list once and compared with blocks
+    of all vectors: whichever takes fewer rounds. The first grows with the pairs,
+    the second with the square of the vectors; neither fills the disk with pairs.
     """
+    n = vectors.count()
+    rounds = max(1, -(-near.count() // max(n, BLOCK)))
+    return verified_by_blocks(near, vectors, least) if -(-n // BLOCK) <= rounds else verified_by_pairs(near, vectors, least, rounds)
+
+
+def verified_by_pairs(near: DataFrame, vectors: DataFrame, least: float, rounds: int) -> DataFrame:
+    """``verified``, a share of the pairs at a time with both vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                s = np.einsum("ij,ij->i", matrix(b.column(2)).astype(np.float64), matrix(b.column(3)).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.minimum(s, 1.0))], names=["a", "b", "similarity"]).filter(pa.array(s >= least))
+
+    found = []
+    for i in range(rounds):
+        some = near.filter(F.pmod(F.xxhash64("a"), F.lit(rounds)) == i)
+        ids = materialise(some.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-ids")
+        x = vectors.join(F.broadcast(ids), "rid", "left_semi") if ids.count() <= BROADCAST_ROWS else vectors
+        one = some.join(x.select(F.col("rid").alias("a"), F.col("vec").alias("va")), "a")
+        both = one.join(x.select(F.col("rid").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb")
+        found.append(materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), "verified-pairs"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def verified_by_blocks(near: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """``verified``, a vector with its list against one block of all vectors after the other."""
     lists = materialise(near.groupBy("a").agg(F.collect_set("b").alias("bs")), "near-lists")
     if (lists.agg(F.sum(F.size("bs"))).first()[0] or 0) <= BROADCAST_ROWS:
         lists = F.broadcast(lists)
     rows = materialise(vectors.join(lists.withColumnRenamed("a", "rid"), "rid").select("rid", "vec", "bs"), "near-vectors")
-    free_shuffles(near.sparkSession)
     out = None
     for shared in passes(vectors):
 

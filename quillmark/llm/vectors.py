@@ -19,6 +19,9 @@ SCALE = 32767.0
 #: Rows up to which a list of row numbers is broadcast (16 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Vectors of one broadcast (50 MB).
+BLOCK = 65_536
+
 
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to be small enough, else as it is."""
@@ -91,13 +94,13 @@ def slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, rows)
 
 
-def passes(rows: DataFrame, *order: str, block: int = 65_536) -> Iterator[Broadcast]:
+def passes(rows: DataFrame, *order: str, block: int = BLOCK) -> Iterator[Broadcast]:
     """All of ``rows`` in broadcasts of about ``block`` rows, for comparing every row with every other without a shuffle.
 
     ``rows`` holds rid, vec and the columns of ``order``; a broadcast is a dict of
     the other columns as arrays and the packed vectors, sorted by ``order`` and
-    rid. It is dropped when the next one is asked for, so what is computed from it
-    must be written before.
+    rid. It and its files are dropped when the next one is asked for, so what is
+    computed from it must be written before.
     """
     n = max(1, -(-rows.count() // block))
     for i in range(n):
@@ -106,7 +109,7 @@ def passes(rows: DataFrame, *order: str, block: int = 65_536) -> Iterator[Broadc
         shared = rows.sparkSession.sparkContext.broadcast(({c: t.column(c).to_numpy() for c in (*order, "rid")}, packed))
         del t, packed
         yield shared
-        shared.unpersist()
+        shared.destroy()
 
 
 def only(vectors: DataFrame, ids: DataFrame) -> DataFrame:

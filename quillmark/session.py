@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether the shuffle files of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named in ``spark.checkpoint.dir``.
 
@@ -39,11 +43,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Columnar, so later passes read only the columns they need; survives the loss
-    of any executor.
+    of any executor. The shuffle files it took are removed as soon as it is
+    written: left to the driver's garbage collector, each step of a long job would
+    add its files to those of the steps before.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/quillmark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,16 +72,6 @@ def discard(*tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the shuffle files of queries that have ended removed.
-
-    Spark does so when the driver's JVM finds that nothing refers to a shuffle any
-    more, which it may not look for in hours; until then each step of a long job
-    adds its files to those of all before.
-    """
-    spark._jvm.System.gc()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on every executor (once for a session)."""
     sc = spark.sparkContext
