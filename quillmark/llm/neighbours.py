@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.clusters import Limits, grow
-from quillmark.llm.vectors import BLOCK, BROADCAST_ROWS, matrix, passes, representatives, slices, small, unpacked
+from quillmark.llm.vectors import BLOCK, BROADCAST_ROWS, matrix, passes, representatives, share, shares, slices, small, unpacked
 from quillmark.operators.components import connected_components
 from quillmark.session import discard, materialise, ship_package
 
@@ -184,46 +184,89 @@ def near_pairs(reps: DataFrame, h: Hashing, size: int, least: float) -> tuple[Da
     return near, materialise(keyed(reps, h, size, True).join(group, "key").select("grp", "rid").distinct(), "hot-members")
 
 
+def best(x: np.ndarray, own: np.ndarray, packed: np.ndarray, rid: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``x`` its ``k`` most similar rows of ``packed``, of at least ``least``, ties included; never itself. ``rid`` is sorted.
+
+    Products are float32, so what is closer than ``spare`` to the last one stays too.
+    """
+    spare = 1e-5
+    floor = np.full(len(x), least, np.float32)
+    p = q = np.zeros(0, np.int64)
+    v = np.zeros(0, np.float32)
+    for i in range(0, len(rid), 4096):
+        to = rid[i : i + 4096]
+        s = x @ unpacked(packed[i : i + 4096]).T
+        me = np.minimum(np.searchsorted(to, own), len(to) - 1)
+        same = np.flatnonzero(to[me] == own)
+        s[same, me[same]] = -2
+        hit = s >= floor[:, None] - spare
+        many = np.flatnonzero(hit.sum(1) > k)
+        if len(many):
+            floor[many] = np.maximum(floor[many], np.partition(s[many], -k, 1)[:, -k])
+            hit[many] = s[many] >= floor[many, None] - spare
+        r, c = np.nonzero(hit)
+        if not len(r):
+            continue
+        p, q, v = np.append(p, r), np.append(q, c + i), np.append(v, s[r, c])
+        order = np.lexsort((-v, p))
+        p, q, v = p[order], q[order], v[order]
+        row, start, n = np.unique(p, return_index=True, return_counts=True)
+        full = n >= k
+        floor[row[full]] = np.maximum(floor[row[full]], v[start[full] + k - 1])
+        stay = v >= floor[p] - spare
+        p, q, v = p[stay], q[stay], v[stay]
+    return p, q
+
+
+def best_of_each(found: list[DataFrame], k: int) -> DataFrame:
+    """Of the pairs (rid, other, similarity) the ``k`` most similar ones of each ``rid``, ties included; the tables they come from are deleted."""
+    w = Window.partitionBy("rid").orderBy(F.desc("similarity"))
+    out = materialise(reduce(DataFrame.unionAll, found).withColumn("n", F.rank().over(w)).filter(F.col("n") <= k).drop("n"), "hot-pairs")
+    discard(*found)
+    return out
+
+
 def exact_pairs(members: DataFrame, vectors: DataFrame, least: float, k: int) -> DataFrame:
     """Pairs (a < b, similarity) of at least ``least`` within the groups: of each vector its ``k`` most similar ones, ties included.
 
     Every vector is compared with all others of its group by matrix products, so
     nothing is missed and the work is quadratic in a group; of the similarities
-    only the best of each row leave a task.
+    only the best of each row leave a task. Groups are taken in turn. One that is
+    larger than a broadcast is compared part by part, and what the parts give is
+    cut to the best of each row on the way, so that it does not grow with them.
     """
     rows = materialise(vectors.join(small(members), "rid").select("grp", "rid", "vec").sortWithinPartitions("grp"), "hot-vectors")
-    spare = 1e-5  # products are float32
-    out = None
-    for shared in passes(rows, "grp"):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            other, packed = shared.value
-            group, rid = other["grp"], other["rid"]
-            for whole in batches:
-                for b in slices(whole):
-                    g, own, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2))
-                    for c in np.unique(g):
-                        at = np.flatnonzero(g == c)
-                        floor = np.full(len(at), least, np.float32)
-                        first, last = np.searchsorted(group, c, "left"), np.searchsorted(group, c, "right")
-                        for i in range(first, last, 4096):
-                            j = min(i + 4096, last)
-                            y = unpacked(packed[i:j])
-                            s = x[at] @ y.T
-                            s[own[at][:, None] == rid[None, i:j]] = -1
-                            if j - i >= k:
-                                floor = np.maximum(floor, np.partition(s, -k, 1)[:, -k])
-                            p, q = np.nonzero(s >= floor[:, None] - spare)
+    counts = sorted((r.grp, r.n) for r in rows.groupBy("grp").agg(F.count("*").alias("n")).collect())
+    size = dict(counts)
+    out = [rows.sparkSession.createDataFrame([], "rid bigint, other bigint, similarity double")]
+    for first, last, parts in shares(counts, BLOCK):
+        mine = rows.filter(F.col("grp").between(first, last))
+        found: list[DataFrame] = []
+        for part in range(parts):
+            shared = share(mine if parts == 1 else mine.filter(F.pmod(F.xxhash64("rid"), F.lit(parts)) == part), "grp")
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                other, packed = shared.value
+                group, rid = other["grp"], other["rid"]
+                for whole in batches:
+                    for b in slices(whole):
+                        g, own, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2))
+                        for c in np.unique(g):
+                            at = np.flatnonzero(g == c)
+                            i, j = np.searchsorted(group, c, "left"), np.searchsorted(group, c, "right")
+                            p, q = best(x[at], own[at], packed[i:j], rid[i:j], least, k)
                             for n in range(0, len(p), 8192):
-                                u, v = at[p[n : n + 8192]], q[n : n + 8192]
-                                exact = np.einsum("ij,ij->i", x[u].astype(np.float64), y[v].astype(np.float64))
-                                cols = [np.minimum(own[u], rid[i + v]), np.maximum(own[u], rid[i + v]), np.minimum(exact, 1.0)]
-                                yield pa.RecordBatch.from_arrays([pa.array(z) for z in cols], names=["a", "b", "similarity"]).filter(pa.array(exact >= least))
-
-        found = materialise(rows.mapInArrow(run, "a bigint, b bigint, similarity double"), "hot-pairs")
-        out = found if out is None else out.unionAll(found)
-    assert out is not None
-    return out
+                                u, v = at[p[n : n + 8192]], i + q[n : n + 8192]
+                                exact = np.einsum("ij,ij->i", x[u].astype(np.float64), unpacked(packed[v]).astype(np.float64))
+                                yield pa.RecordBatch.from_arrays([pa.array(own[u]), pa.array(rid[v]), pa.array(np.minimum(exact, 1.0))], names=["rid", "other", "similarity"]).filter(pa.array(exact >= least))
+
+            found.append(materialise(mine.mapInArrow(run, "rid bigint, other bigint, similarity double"), "hot-pairs"))
+            shared.destroy()
+            if len(found) > 1 and (part == parts - 1 or sum(f.count() for f in found) > 3 * k * size[first]):
+                found = [best_of_each(found, k)]
+        out += found
+    discard(rows)
+    return reduce(DataFrame.unionAll, out).select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"), "similarity")
 
 
 def bit_limit(similarity: float) -> int:
@@ -325,7 +368,7 @@ def leaf_pairs(reps: DataFrame, size: int, k: int) -> DataFrame:
     return exact_pairs(members, reps.select("rid", "vec"), -1.0, k)
 
 
-def neighbours(vectors: DataFrame, heads: DataFrame, *, k: int = 10, least: float = 0.8, size: int = 384, hashing: Hashing | None = None, fill: bool = False) -> DataFrame:
+def neighbours(vectors: DataFrame, heads: DataFrame, *, k: int = 10, least: float = 0.8, size: int = 384, hashing: Hashing | None = None, fill: bool = False, own: bool = False) -> DataFrame:
     """For each post its ``k`` most similar posts of the same model: ``key``, ``neighbour``, ``similarity``, ``rank``.
 
     Neighbours of similarity ``least`` or more are searched for by hashing; that
@@ -333,15 +376,21 @@ def neighbours(vectors: DataFrame, heads: DataFrame, *, k: int = 10, least: floa
     less similar ones by ``leaf_pairs``; without, posts that have no neighbour above
     the floor have no row. Ties in similarity go to the smaller key. Posts with the
     same vector are hashed once; each of them gets its own list, made from the
-    first k + 1 members of each group, which is exact for the top k.
+    first k + 1 members of each group, which is exact for the top k. With ``own``
+    nothing else reads ``vectors``, so the table is deleted as soon as it was copied
+    and the copy when the pairs are known.
     """
     ship_package(vectors.sparkSession)
     h = hashing or Hashing()
     reps, members = representatives(vectors, heads)
+    if own and not set(reps.inputFiles()) & set(vectors.inputFiles()):
+        discard(vectors)
     pairs = similar_pairs(reps, h, size, least, k + 1)
     if fill:
         pairs = pairs.unionAll(leaf_pairs(reps, size, k + 1)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     pairs = materialise(pairs, "similar-pairs")
+    if own:
+        discard(reps)
     by_key = Window.partitionBy("rep").orderBy("key")
     first = members.withColumn("n", F.row_number().over(by_key)).filter(F.col("n") <= k + 1).select("rep", "key")
     way = pairs.select(F.col("a").alias("q"), F.col("b").alias("rep"), "similarity").unionAll(pairs.select(F.col("b").alias("q"), F.col("a").alias("rep"), "similarity"))

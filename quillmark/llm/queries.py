@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.neighbours import neighbours
     from quillmark.llm.vectors import usable_vectors
 
-    n = neighbours(*usable_vectors(table(spark, d, "argus_post_details")))
+    n = neighbours(*usable_vectors(table(spark, d, "argus_post_details")), own=True)
     return n.select(F.least("key", "neighbour").alias("post_id_a"), F.greatest("key", "neighbour").alias("post_id_b")).distinct()
 
 
@@ -26,7 +26,7 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from quillmark.llm.neighbours import neighbours
     from quillmark.llm.vectors import usable_vectors
 
-    found = neighbours(*usable_vectors(table(spark, d, "argus_post_details")), fill=True)
+    found = neighbours(*usable_vectors(table(spark, d, "argus_post_details")), fill=True, own=True)
     return found.withColumnsRenamed({"key": "post_id", "neighbour": "neighbour_id"})
 
 

@@ -104,14 +104,34 @@ def passes(rows: DataFrame, *order: str, block: int = BLOCK) -> Iterator[Broadca
     """
     n = max(1, -(-rows.count() // block))
     for i in range(n):
-        t = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(n)) == i).select(*order, "rid", "vec").toArrow().sort_by([(c, "ascending") for c in (*order, "rid")])
-        packed = np.frombuffer(b"".join(x.as_py() for x in t.column("vec")), np.int16).reshape(t.num_rows, -1 if t.num_rows else 1)
-        shared = rows.sparkSession.sparkContext.broadcast(({c: t.column(c).to_numpy() for c in (*order, "rid")}, packed))
-        del t, packed
+        shared = share(rows.filter(F.pmod(F.xxhash64("rid"), F.lit(n)) == i), *order)
         yield shared
         shared.destroy()
 
 
+def share(rows: DataFrame, *order: str) -> Broadcast:
+    """All of ``rows`` in one broadcast, as in ``passes``."""
+    t = rows.select(*order, "rid", "vec").toArrow().sort_by([(c, "ascending") for c in (*order, "rid")])
+    packed = np.frombuffer(b"".join(x.as_py() for x in t.column("vec")), np.int16).reshape(t.num_rows, -1 if t.num_rows else 1)
+    return rows.sparkSession.sparkContext.broadcast(({c: t.column(c).to_numpy() for c in (*order, "rid")}, packed))
+
+
+def shares(counts: list[tuple[int, int]], block: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges of groups of about ``block`` rows: first and last group, parts; ``counts`` has the rows of each group, in order.
+
+    Only a group of more rows stands alone and has several parts.
+    """
+    first = last = None
+    held = 0
+    for g, n in counts:
+        if first is not None and held + n > block:
+            yield first, last, max(1, -(-held // block))
+            first, held = None, 0
+        first, last, held = g if first is None else first, g, held + n
+    if first is not None:
+        yield first, last, max(1, -(-held // block))
+
+
 def only(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``vectors`` whose ``rid`` is in ``ids``.
 
